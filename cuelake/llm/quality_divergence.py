@@ -90,13 +90,27 @@ def run_starts(w: str) -> Column:
     return F.expr(f"CASE WHEN size({w}) = 0 THEN CAST(array() AS array<int>) ELSE {starts} END")
 
 
-def repeated_words(w: str) -> Column:
-    """Words of array column ``w`` in 3-word windows that are found twice or more, the first included.
+#: Up to so many distinct repeated windows their places are found by search in a list, beyond by sorting all windows.
+FEW_REPEATS = 64
 
-    Windows are hashed with their place, sorted, and marked where a neighbour has their hash: n log n in the text's length.
+
+def repeated_words(h: str) -> Column:
+    """Words in 3-word windows that are found twice or more, the first included, from the window hashes ``h`` in order.
+
+    Most texts repeat no window, which their distinct hashes show. In others the places of the repeated hashes are taken, by
+    sorting (hash, place) pairs where there are many, so that the work is n log n in the text's length.
     """
-    hashed = f"transform(sequence(0, size({w}) - 3), i -> struct(xxhash64({w}[i], {w}[i + 1], {w}[i + 2]) AS h, i AS i))"
-    return F.expr(f"CASE WHEN size({w}) < 4 THEN CAST(array() AS array<struct<h:bigint,i:int>>) ELSE array_sort({hashed}) END")
+    twice = f"array_distinct(transform(filter(sequence(1, size({h}) - 1), k -> s[k] = s[k - 1]), k -> s[k]))"
+    few = f"filter(sequence(0, size({h}) - 1), i -> array_contains(d, {h}[i]))"
+    pairs = f"array_sort(transform({h}, (x, i) -> struct(x AS h, i AS i)))"
+    near = "(k > 1 AND p[k - 1].h = p[k - 2].h) OR (k < size(p) AND p[k - 1].h = p[k].h)"
+    many = f"transform(array({pairs}), p -> array_sort(transform(filter(sequence(1, size(p)), k -> {near}), k -> p[k - 1].i)))[0]"
+    covered = "aggregate(sequence(1, size(at)), 0, (a, k) -> a + CASE WHEN k < size(at) THEN least(3, at[k] - at[k - 1]) ELSE 3 END)"
+    return F.expr(
+        f"CASE WHEN size(array_distinct({h})) = size({h}) THEN 0 ELSE "
+        f"transform(transform(transform(array(sort_array({h})), s -> {twice}), "
+        f"d -> CASE WHEN size(d) <= {FEW_REPEATS} THEN {few} ELSE {many} END), at -> {covered})[0] END"
+    ).cast("bigint")
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -110,7 +124,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
             "n_words": F.size("_w").cast("bigint"),
             "_joined": F.array_join("_w", ""),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-            "_sorted": repeated_words("_w"),
+            "_hashes": F.transform("_w", lambda x: F.xxhash64(x)),
             "_common": F.array_sort(F.filter("_w", lambda x: x.isin(*common))),
         }
     )
@@ -118,17 +132,16 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
         {
             "word_chars": F.length("_joined").cast("bigint"),
             "_rest": F.regexp_replace("_joined", "\\p{Ll}+", ""),
-            "_m": F.size("_sorted"),
+            "_windows": F.expr(
+                "CASE WHEN size(_hashes) < 4 THEN CAST(array() AS array<bigint>) ELSE "
+                "transform(sequence(1, size(_hashes) - 2), i -> xxhash64(_hashes[i - 1], _hashes[i], _hashes[i + 1])) END"
+            ),
         }
     )
-    marked = F.expr(
-        "array_sort(transform(filter(sequence(1, _m), k -> "
-        "(k > 1 AND _sorted[k - 1].h = _sorted[k - 2].h) OR (k < _m AND _sorted[k - 1].h = _sorted[k].h)), k -> _sorted[k - 1].i))"
-    )
     left = lambda c, pattern: F.length(F.regexp_replace(c, pattern, ""))
     df = df.withColumns(
         {
-            "_at": F.when(F.col("_m") > 1, marked).otherwise(F.array().cast("array<int>")),
+            "n_repeat_words": repeated_words("_windows"),
             "_starts": run_starts("_common"),
             "_n_rest": F.length("_rest"),
             "n_symbols": (F.length("_rest") - left("_rest", "[#*$%&|<>]")).cast("bigint"),
@@ -137,12 +150,8 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
             "_digit": F.length("_rest") - left("_rest", "[0-9]"),
         }
     )
-    covered = F.expr(
-        "CASE WHEN size(_at) = 0 THEN 0 ELSE aggregate(sequence(1, size(_at)), 0, "
-        "(a, k) -> a + CASE WHEN k < size(_at) THEN least(3, _at[k] - _at[k - 1]) ELSE 3 END) END"
-    )
     runs = F.expr("transform(_starts, (p, j) -> struct(_common[p - 1] AS word, coalesce(get(_starts, j + 1), size(_common) + 1) - p AS n))")
-    return df.withColumns({"n_repeat_words": covered.cast("bigint"), "_runs": runs})
+    return df.withColumn("_runs", runs)
 
 
 def judge(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -177,7 +186,7 @@ def judge(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataF
         }
     )
     df = df.withColumn("kept", ~F.col("base_failed") & ~F.col("_far"))
-    return df.drop("_w", "_lines", "_joined", "_sorted", "_common", "_rest", "_m", "_at", "_starts", "_runs", "_n_rest", "_upper", "_point", "_digit", "_near", "_far")
+    return df.drop("_w", "_lines", "_joined", "_hashes", "_windows", "_common", "_rest", "_starts", "_runs", "_n_rest", "_upper", "_point", "_digit", "_near", "_far")
 
 
 def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
