@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cuelake.llm import quality_divergence, sharding
+from cuelake.llm import near_duplicates, quality_divergence, sharding
 
 QUERIES = {
+    "op3_signature_join": near_duplicates.op3_signature_join,
     "op7_distribution_divergence": quality_divergence.op7_distribution_divergence,
     "op8_jump_sharding": sharding.op8_jump_sharding,
 }
