@@ -2,16 +2,18 @@
 
 Every text is the set of its distinct word shingles. Texts with equal sets are one class, and classes are what is joined:
 
-1. A class has a MinHash signature of ``coordinates`` values. Two sets of similarity s agree in a coordinate with probability s.
+1. A class has a MinHash signature of ``coordinates`` values, each made of two minima. Two sets of similarity s agree in a
+   coordinate with probability s * s, so that unrelated texts hardly ever do.
 2. It is posted under each (coordinate, value) pair of its prefix. A link needs ``matches`` equal coordinates, so two linked
    classes share a pair among the ``coordinates - matches + 1`` first of each in any common order of pairs. The order is by how
    often a pair occurs, rare first, which skips the long lists; occurrences are counted over all classes in a table of fixed size.
 3. Each list proposes its members to its first one only, so lists give as many rows as members. Proposals whose signatures
    collide in ``matches`` coordinates are confirmed on the full sets and joined to components.
-4. Members of a list that are then in different components are proposed to each other, those of the first member's component
-   only to the others. A large group of copies is one component by then and gives no pairs.
+4. Components that still share a list are then compared as wholes: by their centres' collisions and by how many coordinates of
+   any member differ from its centre. Where the bound leaves room for a link their members in the list are proposed to each other.
+   A large group of copies is one component by then and gives no pairs.
 
-A link of similarity 0.8 agrees in fewer than 32 of 64 coordinates with a probability of 2e-8; nothing else can be lost.
+A link of similarity 0.8 agrees in fewer than 20 of 64 coordinates with a probability of 2e-8; nothing else can be lost.
 """
 
 from __future__ import annotations
@@ -37,23 +39,28 @@ class Settings:
     words: int = 5
     percent: int = 80
     coordinates: int = 64
-    matches: int = 32
+    matches: int = 20
     slots: int = 1 << 22
     seed: int = 7
 
 
+#: Numbers that rows' ids are hashed to before texts are shuffled; what is broadcast has at most so many rows.
+SIEVE = 1 << 20
+
+
 class _Signer:
     def __init__(self, s: Settings):
         rng = np.random.default_rng(s.seed)
-        self.xor = rng.integers(0, 1 << 63, (s.coordinates, 1), dtype=np.uint64)
-        self.mul = rng.integers(0, 1 << 63, (s.coordinates, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.xor = rng.integers(0, 1 << 63, (2 * s.coordinates, 1), dtype=np.uint64)
+        self.mul = rng.integers(0, 1 << 63, (2 * s.coordinates, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __call__(self, x: np.ndarray) -> bytes:
         """Signature of a set of hashes, 4 bytes a coordinate. Large sets go in blocks."""
         low = np.full(len(self.xor), np.uint64((1 << 64) - 1))
         for a in range(0, len(x), 4096):
             low = np.minimum(low, ((x[a : a + 4096] ^ self.xor) * self.mul).min(axis=1))
-        return (low >> np.uint64(32)).astype("<u4").tobytes()
+        half = len(low) // 2
+        return (V.mix(low[:half] + V.mix(low[half:])) >> np.uint64(32)).astype("<u4").tobytes()
 
 
 def _sets(values: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -128,18 +135,25 @@ def _posted(settings: Settings, counts):
     return run
 
 
-def _colliding(settings: Settings):
+def _collisions(settings: Settings):
+    """(a, b, n): in how many coordinates the signatures agree."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, settings.coordinates) for k in (2, 3))
-            enough = (a == b).sum(axis=1) >= settings.matches
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(enough)) for k in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).sum(axis=1))], ["a", "b", "n"])
 
     return run
 
 
+def _with_collisions(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b")
+    return both.mapInArrow(_collisions(settings), "a bigint, b bigint, n bigint")
+
+
 def _set_rows(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,17 +181,20 @@ def _confirmed(settings: Settings):
 
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, settings: Settings, scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs (a, b) that collide often enough and are confirmed on full sets."""
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b")
-    met = scratch.save(met.mapInArrow(_colliding(settings), "a bigint, b bigint"), f"{name}-met")
+    met = _with_collisions(pairs, classes, settings).where(F.col("n") >= settings.matches).select("a", "b")
+    met = scratch.save(met, f"{name}-met")
     asked = met.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    rep = classes.join(asked, "cls", "left_semi").select("cls", "rep_row")
-    sets = texts.join(rep, texts["row_id"] == rep["rep_row"]).select("cls", "text").mapInArrow(_set_rows(settings), "cls bigint, members binary")
+    rep = scratch.save(classes.join(asked, "cls", "left_semi").select("cls", "rep_row"), f"{name}-rep")
+    # most texts are in no pair: a table of at most ``SIEVE`` numbers keeps them out of the shuffle that the exact join needs
+    number = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    sieve = rep.select(number(F.col("rep_row")).alias("number")).distinct()
+    near = texts.join(F.broadcast(sieve), number(F.col("row_id")) == F.col("number"), "left_semi")
+    sets = near.join(rep, near["row_id"] == rep["rep_row"]).select("cls", "text").mapInArrow(_set_rows(settings), "cls bigint, members binary")
     sets = scratch.save(sets, f"{name}-sets")
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("members").alias(f"set_{c}"))
     both = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     links = scratch.save(both.mapInArrow(_confirmed(settings), "a bigint, b bigint"), f"{name}-links")
-    scratch.drop(f"{name}-met", f"{name}-sets")
+    scratch.drop(f"{name}-met", f"{name}-sets", f"{name}-rep")
     return links
 
 
@@ -225,18 +242,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = _links(tried, classes, texts, settings, scratch, "first")
     labels = scratch.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "labels")
 
-    # members of a list that are still in different components
+    # components that share a list
     placed = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     placed = scratch.save(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("label").alias("main"), F.max("label").alias("other"), F.count("*").alias("size"))
-    split = split.where((F.col("main") != F.col("other")) & (F.col("size") > 2)).select("key", "main")
-    mixed = scratch.save(placed.join(split, "key"), "mixed")
-    rest = mixed.where(F.col("label") != F.col("main")).select("key", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
+    in_list = placed.groupBy("key", "label").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
+    main = in_list.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = scratch.save(in_list.join(main.select("key", "main"), "key"), "mixed")
+    x = mixed.where(F.col("label") != F.col("main")).select("key", F.col("label").alias("x"), F.col("least").alias("x_least"), F.col("most").alias("x_most"))
+    meets = (
+        mixed.join(x, "key")
+        .where(
+            ((F.col("label") == F.col("main")) | (F.col("label") < F.col("x")))
+            & (F.col("most") * 100 >= F.col("x_least") * settings.percent)
+            & (F.col("x_most") * 100 >= F.col("least") * settings.percent)
+        )
+        .select(F.least("label", "x").alias("a"), F.greatest("label", "x").alias("b"))
+        .distinct()
+    )
+    radius = _with_collisions(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")), classes, settings)
+    radius = radius.groupBy("a").agg((F.lit(settings.coordinates) - F.min("n")).alias("r"))
+    side = lambda c: radius.select(F.col("a").alias(c), F.col("r").alias(f"r_{c}"))
+    reach = _with_collisions(meets, classes, settings).join(side("a"), "a", "left").join(side("b"), "b", "left")
+    room = F.coalesce("r_a", F.lit(0)) + F.coalesce("r_b", F.lit(0))
+    reach = scratch.save(reach.where(F.col("n") + room >= settings.matches).select("a", "b"), "reach")
+    some = placed.join(reach.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "label", "left_semi").select("key", "label", "cls", "n")
+    some = scratch.save(some, "some")
+    at = lambda c: some.select("key", F.col("label").alias(c), F.col("cls").alias(f"cls_{c}"), F.col("n").alias(f"n_{c}"))
     again = (
-        mixed.join(rest, "key")
-        .where((F.col("label") != F.col("xl")) & ((F.col("label") == F.col("main")) | (F.col("cls") < F.col("x"))) & fits(F.col("n"), F.col("xn")))
-        .select(F.col("cls").alias("a"), F.col("x").alias("b"))
-        .select(least.alias("a"), most.alias("b"))
+        reach.join(at("a"), "a")
+        .join(at("b"), ["key", "b"])
+        .where(fits(F.col("n_a"), F.col("n_b")))
+        .select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
@@ -247,7 +283,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least_of = placed.groupBy("label").agg(F.min("rep_row").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     of_class = scratch.save(placed.join(least_of, "label").join(degree, "cls", "left").select("cls", "component_id", "n_links"), "of-class")
-    scratch.drop("classes", "postings", "tried", "labels", "placed", "mixed", "again", "links", "first-links", "second-links")
+    scratch.drop("classes", "postings", "tried", "labels", "placed", "mixed", "reach", "some", "again", "links", "first-links", "second-links")
     linked = (F.col("n_shingles") > 0) & F.col("row_id").isNotNull()
     return (
         signed.select("row_id", "n_shingles", F.when(linked, F.col("cls")).alias("cls"))
