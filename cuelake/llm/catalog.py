@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cuelake.llm import language_id, near_duplicates, quality_divergence, sharding, toxicity
+from cuelake.llm import language_id, license_scan, near_duplicates, quality_divergence, sharding, toxicity
 
 QUERIES = {
     "op3_signature_join": near_duplicates.op3_signature_join,
+    "op9_diagonal_voting": license_scan.op9_diagonal_voting,
     "op10_nearest_centroid": language_id.op10_nearest_centroid,
     "op4_subsequence_kernel": toxicity.op4_subsequence_kernel,
     "op7_distribution_divergence": quality_divergence.op7_distribution_divergence,
