@@ -1,4 +1,72 @@
-STAGES = []
+"""Corpus pipeline: language identification, toxicity, near duplicates, benchmark decontamination, byte-pair encoding.
+
+Each stage works on all rows that the one before kept; what it returns is written as Parquet and read again. All but the last return
+the columns of documents. Rows with equal ids are separate rows; a stage that decides by id decides alike for all of them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuelake.llm import bpe_automaton, decontamination, language_id, near_duplicates, toxicity
+from cuelake.llm.columns import read_table
+from cuelake.llm.scratch import Scratch
+
+#: SQL can express none of the learnt stages.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is identified: text with letters that is not far from all learnt languages."""
+    model = language_id.fit(language_id.training_rows(docs).withColumn("text", F.lower("text")), "text", "lang", "doc_id")
+    found = language_id.predict(docs, model, keep=tuple(docs.columns))
+    return found.where(~F.col("rejected")).select(*docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the classifier does not call toxic; it learns from labelled rows that are not held out."""
+    model = toxicity.fit_labelled(docs, read_table(spark, sf_dir, "labels"))
+    found = toxicity.predict(docs, model, keep=tuple(docs.columns))
+    return found.where(F.col("predicted") == 0).select(*docs.columns)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id.
+
+    Documents without words are in no group and stay.
+    """
+    found = near_duplicates.near_duplicates(docs, settings=near_duplicates.Settings(words=5, percent=80))
+    dropped = found.where((F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that leak no benchmark item."""
+    leaked = decontamination.leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the hashes of the ids and of the text that they decode to."""
+    return bpe_automaton.encode(docs, keep=("doc_id",))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("toxicity", not_toxic),
+    ("near_duplicates", one_of_near_duplicates),
+    ("decontamination", not_leaked),
+    ("bpe", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
+    return docs

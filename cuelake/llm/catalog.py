@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cuelake.llm import bpe_automaton, language_id, license_scan, near_duplicates, quality_divergence, sharding, toxicity, warc, wavelet_tokens
+from cuelake.llm import bpe_automaton, decontamination, language_id, license_scan, near_duplicates, quality_divergence, sharding, toxicity, warc, wavelet_tokens
 
 QUERIES = {
     "op1_boundary_chain": warc.op1_boundary_chain,
+    "op2_latent_retrieval": decontamination.op2_latent_retrieval,
     "op3_signature_join": near_duplicates.op3_signature_join,
     "op9_diagonal_voting": license_scan.op9_diagonal_voting,
     "op10_nearest_centroid": language_id.op10_nearest_centroid,
