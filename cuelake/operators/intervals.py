@@ -25,3 +25,85 @@ def union(df: DataFrame, key: str, start: str = "start_time", end: str = "end_ti
         .agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("members"))
         .drop("_island")
     )
+
+
+def range_join(a: DataFrame, b: DataFrame, key: str, width: float, start: str = "start_time", end: str = "end_time", suffix: str = "_b") -> DataFrame:
+    """Pairs of a key's intervals that overlap (strictly): all columns of ``a`` and those of ``b`` with ``suffix``.
+
+    Both sides are dealt to buckets of ``width`` seconds and joined by (key, bucket), so no key is held as a whole; a pair counts in
+    the bucket in which its overlap starts, once. Intervals much longer than ``width`` are in many buckets.
+    """
+    right = b.select(key, *[F.col(c).alias(c + suffix) for c in b.columns if c != key])
+    bucket = lambda t: F.floor(t / F.lit(float(width)))
+    deal = lambda df, s, e: df.where(valid(F.col(s), F.col(e))).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(s)), bucket(F.col(e)))))
+    x, y = deal(a, start, end), deal(right, start + suffix, end + suffix)
+    from_ = F.greatest(F.col(start), F.col(start + suffix))
+    return (
+        x.join(y, [key, "_bucket"])
+        .where((F.col(start) < F.col(end + suffix)) & (F.col(start + suffix) < F.col(end)) & (F.col("_bucket") == bucket(from_)))
+        .drop("_bucket")
+    )
+
+
+def intersect(a: DataFrame, b: DataFrame, key: str, width: float = 600.0) -> DataFrame:
+    """(key, start_time, end_time): what the unions of both sides share."""
+    pairs = range_join(union(a, key).drop("members"), union(b, key).drop("members"), key, width)
+    return pairs.select(key, F.greatest("start_time", "start_time_b").alias("start_time"), F.least("end_time", "end_time_b").alias("end_time"))
+
+
+def subtract(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, start_time, end_time): what the union of ``a`` has and that of ``b`` does not.
+
+    One sweep: each side's borders as +1 and -1, running sums of them, and the stretches in which ``a`` alone is open.
+    """
+    edge = lambda df, side: union(df, key).select(
+        key, F.explode(F.array(*[F.struct(F.col(c).alias("t"), F.lit(d if side == "a" else 0).alias("in_a"), F.lit(d if side == "b" else 0).alias("in_b")) for c, d in (("start_time", 1), ("end_time", -1))])).alias("x")
+    )
+    edges = edge(a, "a").unionByName(edge(b, "b")).groupBy(key, F.col("x.t").alias("t")).agg(F.sum("x.in_a").alias("in_a"), F.sum("x.in_b").alias("in_b"))
+    by = Window.partitionBy(key).orderBy("t")
+    running = by.rowsBetween(Window.unboundedPreceding, 0)
+    open_ = edges.select(
+        key, F.col("t").alias("start_time"), F.lead("t").over(by).alias("end_time"), F.sum("in_a").over(running).alias("in_a"), F.sum("in_b").over(running).alias("in_b")
+    )
+    return open_.where("in_a > 0 AND in_b = 0 AND end_time IS NOT NULL").select(key, "start_time", "end_time")
+
+
+def total(df: DataFrame, key: str, name: str = "seconds") -> DataFrame:
+    return df.groupBy(key).agg(F.sum(F.col("end_time") - F.col("start_time")).alias(name))
+
+
+def nearest(points: DataFrame, targets: DataFrame, key: str, at: str, target: str, radius: float) -> DataFrame:
+    """``points`` with ``nearest``: the target of the same key nearest to ``at`` within ``radius``, the earlier of two; else null.
+
+    An as-of join in both directions by one sort: the last target before and the first one after each point.
+    """
+    tag = points.withColumn("_t", F.col(at).cast("double")).withColumn("_target", F.lit(None).cast("double")).withColumn("_point", F.lit(1))
+    own = targets.select(key, F.col(target).cast("double").alias("_t")).distinct().withColumn("_target", F.col("_t")).withColumn("_point", F.lit(0))
+    both = tag.unionByName(own, allowMissingColumns=True)
+    order = lambda last: Window.partitionBy(key).orderBy("_t", last)
+    before = F.last("_target", ignorenulls=True).over(order("_point").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_target", ignorenulls=True).over(order(F.desc("_point")).rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumns({"_before": before, "_after": after}).where("_point = 1")
+    gap = lambda c: F.abs(F.col(c) - F.col("_t"))
+    pick = F.when(F.col("_after").isNull() | (gap("_before") <= gap("_after")), F.col("_before")).otherwise(F.col("_after"))
+    return found.withColumn("nearest", F.when(F.abs(pick - F.col("_t")) <= radius, pick)).drop("_t", "_target", "_point", "_before", "_after")
+
+
+def uncovered(
+    speech: DataFrame, evidence: DataFrame, key: str, tolerance: float = 0.1, ignore: float = 0.25, least: float = 0.5, share: float = 0.4, large: float = 2.0
+) -> DataFrame:
+    """(key, start_time, end_time): stretches of speech that no evidence covers.
+
+    Evidence within speech counts, widened by ``tolerance`` within it. Gaps under ``ignore`` seconds are none. A region has gaps if
+    they take ``share`` of it or one is at least ``large``; of those, gaps of at least ``least`` seconds are returned.
+    """
+    regions = union(speech, key).drop("members")
+    wide = intersect(evidence, regions, key).select(key, (F.col("start_time") - tolerance).alias("start_time"), (F.col("end_time") + tolerance).alias("end_time"))
+    wide = wide.withColumn("start_time", F.greatest(F.lit(0.0), "start_time"))
+    gaps = subtract(regions, wide, key).where(F.col("end_time") - F.col("start_time") >= ignore)
+    named = regions.withColumn("region", F.col("start_time")).withColumn("length", F.col("end_time") - F.col("start_time"))
+    inside = range_join(gaps, named, key, 600.0)
+    length = F.col("end_time") - F.col("start_time")
+    by = Window.partitionBy(key, "region_b")
+    bad = (F.sum(length).over(by) >= share * F.col("length_b")) | (F.max(length).over(by) >= large)
+    return union(inside.withColumn("_bad", bad).where(F.col("_bad") & (length >= least)), key).drop("members")
