@@ -9,11 +9,12 @@ Every text is the set of its distinct word shingles. Texts with equal sets are o
    often a pair occurs, rare first, which skips the long lists; occurrences are counted over all classes in a table of fixed size.
 3. Each list proposes its members to its first one only, so lists give as many rows as members. Proposals whose signatures
    collide in ``matches`` coordinates are confirmed on the full sets and joined to components.
-4. Components that still share a list are then compared as wholes: by their centres' collisions and by how many coordinates of
-   any member differ from its centre. Where the bound leaves room for a link their members in the list are proposed to each other.
-   A large group of copies is one component by then and gives no pairs.
+4. Members of a list that are then in different components are proposed to each other, those of the list's main component only to
+   the others, if their sketches, two bits of each of the 128 minima, differ in few enough bits. A large group of copies is one
+   component by then and gives no pairs, and neither do texts that share no more than a common passage.
 
-A link of similarity 0.8 agrees in fewer than 20 of 64 coordinates with a probability of 2e-8; nothing else can be lost.
+A link of similarity 0.8 agrees in fewer than 20 of 64 coordinates with a probability of 2e-8, and in
+fewer than 195 of 256 bits of the sketch with one of about 1e-9; nothing else can be lost.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ class Settings:
     percent: int = 80
     coordinates: int = 64
     matches: int = 20
+    same_bits: int = 195
     slots: int = 1 << 22
     seed: int = 7
 
@@ -54,13 +56,15 @@ class _Signer:
         self.xor = rng.integers(0, 1 << 63, (2 * s.coordinates, 1), dtype=np.uint64)
         self.mul = rng.integers(0, 1 << 63, (2 * s.coordinates, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __call__(self, x: np.ndarray) -> bytes:
-        """Signature of a set of hashes, 4 bytes a coordinate. Large sets go in blocks."""
+    def __call__(self, x: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Signature of a set of hashes, 4 bytes a coordinate, and its sketch. Large sets go in blocks."""
         low = np.full(len(self.xor), np.uint64((1 << 64) - 1))
         for a in range(0, len(x), 4096):
             low = np.minimum(low, ((x[a : a + 4096] ^ self.xor) * self.mul).min(axis=1))
         half = len(low) // 2
-        return (V.mix(low[:half] + V.mix(low[half:])) >> np.uint64(32)).astype("<u4").tobytes()
+        bits = (V.mix(low) >> np.uint64(62)).astype(np.uint8)
+        sketch = np.packbits(np.stack([bits & 1, bits >> 1], axis=1).ravel()).view(">i8").astype(np.int64)
+        return (V.mix(low[:half] + V.mix(low[half:])) >> np.uint64(32)).astype("<u4").tobytes(), sketch
 
 
 def _sets(values: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -79,15 +83,17 @@ def _signed(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = _Signer(settings)
         for batch in batches:
-            n, one, two, sig = [], [], [], []
+            n, one, two, sig, sketch = [], [], [], [], []
             for x in _sets(batch.column(1), settings.words):
                 n.append(len(x))
                 one.append(int(x.sum().astype(np.int64)))
                 two.append(int(V.mix(x).sum().astype(np.int64)))
-                sig.append(signer(x) if len(x) else None)
+                got = signer(x) if len(x) else (None, None)
+                sig.append(got[0])
+                sketch.append(got[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())],
-                ["row_id", "n_shingles", "one", "two", "sig"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
+                ["row_id", "n_shingles", "one", "two", "sig", "sketch"],
             )
 
     return run
@@ -212,12 +218,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * settings.percent
 
     texts = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
-    signed = texts.mapInArrow(_signed(settings), f"row_id {df.schema[id_col].dataType.simpleString()}, n_shingles bigint, one bigint, two bigint, sig binary")
+    signed = texts.mapInArrow(_signed(settings), f"row_id {df.schema[id_col].dataType.simpleString()}, n_shingles bigint, one bigint, two bigint, sig binary, sketch array<bigint>")
     signed = scratch.save(signed, "signed").withColumn("cls", F.xxhash64("n_shingles", "one", "two"))
     classes = scratch.save(
         signed.where((F.col("n_shingles") > 0) & F.col("row_id").isNotNull())
         .groupBy("cls")
-        .agg(F.min("row_id").alias("rep_row"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
+        .agg(F.min("row_id").alias("rep_row"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")),
         "classes",
     )
 
@@ -242,37 +248,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = _links(tried, classes, texts, settings, scratch, "first")
     labels = scratch.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "labels")
 
-    # components that share a list
+    # members of a list that are still in different components
     placed = postings.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     placed = scratch.save(placed, "placed")
-    in_list = placed.groupBy("key", "label").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
-    main = in_list.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = scratch.save(in_list.join(main.select("key", "main"), "key"), "mixed")
-    x = mixed.where(F.col("label") != F.col("main")).select("key", F.col("label").alias("x"), F.col("least").alias("x_least"), F.col("most").alias("x_most"))
-    meets = (
-        mixed.join(x, "key")
-        .where(
-            ((F.col("label") == F.col("main")) | (F.col("label") < F.col("x")))
-            & (F.col("most") * 100 >= F.col("x_least") * settings.percent)
-            & (F.col("x_most") * 100 >= F.col("least") * settings.percent)
-        )
-        .select(F.least("label", "x").alias("a"), F.greatest("label", "x").alias("b"))
-        .distinct()
-    )
-    radius = _with_collisions(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")), classes, settings)
-    radius = radius.groupBy("a").agg((F.lit(settings.coordinates) - F.min("n")).alias("r"))
-    side = lambda c: radius.select(F.col("a").alias(c), F.col("r").alias(f"r_{c}"))
-    reach = _with_collisions(meets, classes, settings).join(side("a"), "a", "left").join(side("b"), "b", "left")
-    room = F.coalesce("r_a", F.lit(0)) + F.coalesce("r_b", F.lit(0))
-    reach = scratch.save(reach.where(F.col("n") + room >= settings.matches).select("a", "b"), "reach")
-    some = placed.join(reach.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "label", "left_semi").select("key", "label", "cls", "n")
-    some = scratch.save(some, "some")
-    at = lambda c: some.select("key", F.col("label").alias(c), F.col("cls").alias(f"cls_{c}"), F.col("n").alias(f"n_{c}"))
+    in_list = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
+    main = in_list.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels"), F.sum("size").alias("members"))
+    main = main.where((F.col("labels") > 1) & (F.col("members") > 2)).select("key", "main")
+    mixed = placed.join(main, "key").join(classes.select("cls", "sketch"), "cls")
+    mixed = scratch.save(mixed.select("key", "cls", "n", "label", "main", "sketch"), "mixed")
+    rest = mixed.where(F.col("label") != F.col("main")).select("key", *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "label", "sketch")])
+    same = F.lit(4 * settings.coordinates)
+    for k in range(settings.coordinates // 16):
+        same = same - F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch_x")[k]))
     again = (
-        reach.join(at("a"), "a")
-        .join(at("b"), ["key", "b"])
-        .where(fits(F.col("n_a"), F.col("n_b")))
-        .select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
+        mixed.join(rest, "key")
+        .where((F.col("label") != F.col("label_x")) & ((F.col("label") == F.col("main")) | (F.col("cls") < F.col("cls_x"))) & fits(F.col("n"), F.col("n_x")))
+        .where(same >= settings.same_bits)
+        .select(F.least("cls", "cls_x").alias("a"), F.greatest("cls", "cls_x").alias("b"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
@@ -283,7 +275,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least_of = placed.groupBy("label").agg(F.min("rep_row").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     of_class = scratch.save(placed.join(least_of, "label").join(degree, "cls", "left").select("cls", "component_id", "n_links"), "of-class")
-    scratch.drop("classes", "postings", "tried", "labels", "placed", "mixed", "reach", "some", "again", "links", "first-links", "second-links")
+    scratch.drop("classes", "postings", "tried", "labels", "placed", "mixed", "again", "links", "first-links", "second-links")
     linked = (F.col("n_shingles") > 0) & F.col("row_id").isNotNull()
     return (
         signed.select("row_id", "n_shingles", F.when(linked, F.col("cls")).alias("cls"))
