@@ -26,6 +26,8 @@ from cuelake.llm.scratch import Scratch
 MAGIC = "WARC/1.1\r\n"
 #: Records of a file at most, which bounds the rounds that reading takes.
 FILE_RECORDS = 4096
+#: Numbers that digests are hashed to before pages are shuffled; what is broadcast has at most so many rows.
+SIEVE = 1 << 20
 _END = "\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -48,7 +50,13 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", "url", text.alias("payload"), base32_sha1(text).alias("digest"), F.octet_length(text).alias("size"))
     first = rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    joined = rows.join(first.where("n > 1").select("digest", "first"), "digest", "left")
+    first = first.where("n > 1").select("digest", "first")
+    # most payloads are found once: a table of at most ``SIEVE`` numbers keeps them out of the shuffle
+    number = F.pmod(F.xxhash64("digest"), F.lit(SIEVE))
+    sieve = F.broadcast(first.select(number.alias("number")).distinct())
+    alone = rows.join(sieve, number == F.col("number"), "left_anti").withColumn("first", F.lit(None).cast(pages.schema["page_id"].dataType))
+    shared = rows.join(sieve, number == F.col("number"), "left_semi").join(first, "digest", "left")
+    joined = alone.unionByName(shared)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("size") >= min_revisit_bytes)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     url = F.coalesce(F.regexp_replace(F.col("url"), "[\\r\\n]", " "), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
