@@ -33,6 +33,8 @@ DECAY = 0.6
 BEFORE, AFTER = 1, 2
 #: Places of the second to fourth byte of a subsequence after its first.
 PATTERNS = tuple((a, a + b, a + b + c) for a, b, c in product((1, 2), repeat=3))
+#: Sizes of the pieces, from and to, that tell example words.
+PIECE_SIZES = (4, 7)
 #: Words whose mean counts beside the worst one alone.
 WORST = 3
 #: Subsequences are told apart by a hash of so many bits.
@@ -44,9 +46,9 @@ class Settings:
     """``sample``: about so many labelled texts are learnt from, half of them toxic. ``landmarks``: half of them from toxic texts.
     ``support`` and ``odds``: the least share of toxic texts with a typical piece, and how many times its share of clean texts."""
 
-    sample: int = 2000
-    landmarks: int = 300
-    counterexamples: int = 8000
+    sample: int = 1600
+    landmarks: int = 240
+    counterexamples: int = 5000
     rounds: int = 3
     support: float = 0.015
     odds: float = 8.0
@@ -170,8 +172,8 @@ def _kernel(words: list[bytes], codes: np.ndarray, marks: np.ndarray) -> np.ndar
     hit = (at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == code)
     order = np.argsort(number[hit], kind="stable")
     number, at, weight = number[hit][order], at[hit][order], weight[hit][order]
-    for a in range(0, len(number), 1 << 17):
-        b = slice(a, a + (1 << 17))
+    for a in range(0, len(number), 1 << 14):
+        b = slice(a, a + (1 << 14))
         first = np.flatnonzero(np.concatenate([[True], np.diff(number[b]) > 0]))
         out[number[b][first]] += np.add.reduceat(marks[at[b]] * weight[b][:, None], first)
     return out
@@ -211,34 +213,66 @@ def _logistic(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[float, fl
     return slope, float(np.log(threshold / (1 - threshold)) - slope * cut)
 
 
+def _pieces_of(d: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, word numbers) of all pieces of ``PIECE_SIZES`` bytes of the words, and of shorter words as wholes. Codes are exact."""
+    size = np.diff(np.append(starts, len(d)))
+    left = np.repeat(starts + size, size) - np.arange(len(d))
+    word = np.repeat(np.arange(len(starts)), size)
+    x = d.astype(np.uint64)
+    codes, words = [], []
+    for n in range(1, PIECE_SIZES[1] + 1):
+        if n > len(x):
+            break
+        at = left[: len(x) - n + 1] >= n
+        if n < PIECE_SIZES[0]:  # whole words only
+            at &= (size[word] == n)[: len(at)] & (left[: len(at)] == n)
+        at = np.flatnonzero(at)
+        code = np.full(len(at), n, np.uint64) << np.uint64(56)
+        for k in range(n):
+            code |= x[at + k] << np.uint64(8 * k)
+        codes.append(code)
+        words.append(word[at])
+    return (np.concatenate(codes), np.concatenate(words)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def train(texts: list[bytes], labels: np.ndarray, settings: Settings = Settings()) -> Model:
-    """Learn from texts (lower case, UTF-8) with labels 0 or 1. With one class only every text gets a score of 0."""
+    """Learn from texts (lower case, UTF-8) with labels 0 or 1. With one class only every text gets a score near 0.
+
+    Texts are gone through one by one; what is kept of them is their distinct words.
+    """
     blank = Model(np.zeros(0, np.int64), np.zeros(0), -1.0, 1.0, -30.0)
     if not (labels > 0).any() or not (labels <= 0).any():
         return blank
     rng = np.random.default_rng(settings.seed)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    d, starts, bounds = words_of(data, offsets)
-    raw, ends = d.tobytes(), np.append(starts[1:], len(d))
-    words = [[raw[starts[k] : ends[k]] for k in range(a, b)] for a, b in zip(bounds[:-1], bounds[1:])]
-    toxic, clean = [w for w, y in zip(words, labels) if y > 0 and w], [w for w, y in zip(words, labels) if y <= 0 and w]
+    name: dict[bytes, bytes] = {}  # one object for each distinct word
+    docs: list[list[bytes]] = []
+    for t in texts:
+        d, starts, _ = words_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        raw, ends = d.tobytes(), np.append(starts[1:], len(d))
+        docs.append(sorted({name.setdefault(w, w) for w in (raw[a:b] for a, b in zip(starts, ends))}))
+    toxic, clean = [w for w, y in zip(docs, labels) if y > 0 and w], [w for w, y in zip(docs, labels) if y <= 0 and w]
     if not toxic or not clean:
         return blank
 
     # examples: words that clean texts hardly have, with a piece of 4 to 7 bytes that is far more frequent in toxic texts
-    grams = lambda w: {w[k : k + n] for n in range(4, 8) for k in range(max(1, len(w) - n + 1))}
-    in_toxic, in_clean = Counter(), Counter()
-    for group, into in ((toxic, in_toxic), (clean, in_clean)):
-        for doc in group:
-            into.update(set().union(*(grams(w) for w in set(doc))))
+    def own(doc: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return _pieces_of(np.frombuffer(b"".join(doc), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in doc])])[:-1])
+
     rate = lambda x, n: (x + 0.5) / (n + 1)
-    least = max(2, settings.support * len(toxic))
-    typical_gram = {g for g, n in in_toxic.items() if n >= least and rate(n, len(toxic)) > settings.odds * rate(in_clean[g], len(clean))}
-    often_toxic, often_clean = (Counter(w for doc in group for w in set(doc)) for group in (toxic, clean))
-    examples = sorted(
-        w for w, n in often_toxic.items() if rate(n, len(toxic)) > settings.odds / 5 * rate(often_clean[w], len(clean)) and not typical_gram.isdisjoint(grams(w))
-    )
+    codes, times = np.unique(np.concatenate([np.unique(own(doc)[0]) for doc in toxic]), return_counts=True)
+    often = times >= max(2, settings.support * len(toxic))
+    codes, times = codes[often], times[often]
+    in_clean = np.zeros(len(codes), np.int64)
+    for doc in clean if len(codes) else []:
+        found = np.unique(own(doc)[0])
+        at = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
+        in_clean[at[codes[at] == found]] += 1
+    codes = codes[rate(times, len(toxic)) > settings.odds * rate(in_clean, len(clean))]
+    often_toxic, often_clean = (Counter(w for doc in group for w in doc) for group in (toxic, clean))
+    every = sorted(often_toxic)
+    found, number = own(every)
+    has = set(number[np.isin(found, codes)].tolist())
+    examples = [w for k, w in enumerate(every) if k in has and rate(often_toxic[w], len(toxic)) > settings.odds / 4 * rate(often_clean[w], len(clean))]
     if not examples:
         return blank
     pool = sorted(often_clean)
@@ -264,16 +298,35 @@ def train(texts: list[bytes], labels: np.ndarray, settings: Settings = Settings(
         z = _kernel(examples + negative, codes, table) @ whiten
         w, bias = _machine(z, np.concatenate([np.ones(len(examples)), -np.ones(len(negative))]), settings.cost)
         model = Model(codes.astype(np.int64), table @ (whiten @ w), bias, 1.0, 0.0)
-        scores, *_ = word_scores(data, offsets, model, model.known())
-        value = {raw[a:b]: x for a, b, x in zip(starts, ends, scores)}
-        hard = Counter(w for doc in clean for w in sorted(set(doc), key=lambda w: (-value[w], w))[:5] if value[w] > -1)
+        known = model.known()
+        hard = Counter()
+        for doc in clean:
+            scores = _scores_of(doc, model, known)
+            hard.update(doc[k] for k in np.argsort(-scores, kind="stable")[:5] if scores[k] > -1)
         new = [w for w, _ in sorted(hard.items(), key=lambda x: (-x[1], x[0])) if w not in set(marks)]
         counter |= set(hard)
         marks += new[: half // settings.rounds]
-    slope, shift = _logistic(text_scores(scores, bounds, model.bias), labels, settings.threshold)
+    known = model.known()
+    whole = np.empty(len(texts))
+    for k, t in enumerate(texts):
+        scores, _, _, bounds = word_scores(np.frombuffer(t, np.uint8), np.array([0, len(t)]), model, known)
+        whole[k] = text_scores(scores, bounds, model.bias)[0]
+    slope, shift = _logistic(whole, labels, settings.threshold)
     return Model(model.codes, model.weights, model.bias, slope, shift)
 
 
+def _scores_of(words: list[bytes], model: Model, known: np.ndarray) -> np.ndarray:
+    """Scores of single words."""
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    d = data[V.NOT_BLANK[data]]
+    size = np.array([len(w) for w in words])
+    x, first = marked(d, np.concatenate([[0], np.cumsum(size)])[:-1])
+    total = np.zeros(len(x))
+    for at, code, weight in _occurrences(x, first, known):
+        total[at] += weight * model.weights[np.searchsorted(model.codes, code)]
+    return np.add.reduceat(total, first) / _norms(size + 2) + model.bias
+
+
 def fit(df: DataFrame, text: str, label: str, key: str, settings: Settings = Settings()) -> Model:
     """Learn from a bounded sample of the rows with a label, gathered on the driver; whole texts."""
     known = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
