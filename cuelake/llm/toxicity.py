@@ -46,9 +46,9 @@ class Settings:
     """``sample``: about so many labelled texts are learnt from, half of them toxic. ``landmarks``: half of them from toxic texts.
     ``support`` and ``odds``: the least share of toxic texts with a typical piece, and how many times its share of clean texts."""
 
-    sample: int = 1600
-    landmarks: int = 240
-    counterexamples: int = 5000
+    sample: int = 2000
+    landmarks: int = 300
+    counterexamples: int = 8000
     rounds: int = 3
     support: float = 0.015
     odds: float = 8.0
