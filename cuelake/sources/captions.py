@@ -51,7 +51,7 @@ PROJECT = T.StructType(
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(media_id, content) of whole text files; the media is the file's name without its extension."""
     name = F.regexp_extract("_metadata.file_path", "([^/]+)\\.[^./]+$", 1)
-    return spark.read.option("wholetext", True).text(path).select(name.alias("media_id"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(name.alias("media_id"), F.col("value").alias("content"))
 
 
 def parse_captions(df: DataFrame, kind: str, content: str = "content", strict: bool = False) -> DataFrame:
@@ -79,6 +79,7 @@ def parse_captions(df: DataFrame, kind: str, content: str = "content", strict: b
     why = F.when(F.col("_at") == 0, "no timing line").when(bad, "malformed timing")
     if strict:
         why = F.when(bad, F.raise_error(F.concat(F.lit("malformed timing in block "), F.col("block").cast("string"))))
+    rows = rows.withColumns({c: F.when(~bad, F.col(c)) for c in ("start_time", "end_time")})
     body = F.array_join(F.slice("_lines", F.col("_at") + 1, F.size("_lines")), "\n")
     return rows.withColumns({"text": F.when(~bad, body), "warning": why}).drop("_block", "_lines", "_at")
 
