@@ -38,8 +38,8 @@ COMMON = 0.02
 class Settings:
     """``covered`` and ``answer``: the least shares of an item's words and of its answer's in the common subsequence."""
 
-    rank: int = 128
-    oversample: int = 16
+    rank: int = 96
+    oversample: int = 8
     cosine: float = 0.3
     covered: float = 0.6
     answer: float = 0.5
@@ -72,12 +72,20 @@ def _word_hashes(values: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield lo, hi, V.word_hashes(part, s, e), bounds
 
 
+#: Leading bits of a hash by which most words are told to be no term before they are searched for.
+SIEVE_BITS = 20
+
+
 def _lookup(h: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Number of each hash among the terms, -1 for others."""
-    if not len(hashes):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-    return np.where(hashes[at] == h, at, -1)
+    out = np.full(len(h), -1)
+    if len(hashes):
+        sieve = np.zeros(1 << SIEVE_BITS, bool)
+        sieve[hashes >> np.uint64(64 - SIEVE_BITS)] = True
+        maybe = np.flatnonzero(sieve[h >> np.uint64(64 - SIEVE_BITS)])
+        at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
+        out[maybe] = np.where(hashes[at] == h[maybe], at, -1)
+    return out
 
 
 def _passages(term: np.ndarray, bounds: np.ndarray, terms: _Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -208,6 +216,11 @@ def _masks(words: tuple[int, ...]) -> dict[int, int]:
 def _leaks(terms, queries, latent, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, qs, z = terms.value, queries.value, latent.value
+        has = np.zeros((len(t.hashes), len(qs)), np.float32)  # weight of each term in each query
+        for k, q in enumerate(qs):
+            own = _lookup(np.array(q.words, np.uint64), t.hashes)
+            has[own[own >= 0], k] = t.weights[own[own >= 0]]
+        total = has.sum(axis=0)
         whole = [(_masks(q.words), len(q.words)) for q in qs]
         tail = [q.words[-max(1, len(q.words) // 3) :] for q in qs]
         answers = [(_masks(x), len(x)) for x in tail]
@@ -220,15 +233,25 @@ def _leaks(terms, queries, latent, settings: Settings):
                 row, col, value, base = _passages(_lookup(h, t.hashes), bounds, t)
                 kept, y = _project(row, col, value, t.basis)
                 cos = (y @ z.T) / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-                for p, k in zip(*np.nonzero(cos >= settings.cosine)):
+                near = cos >= settings.cosine
+                some = np.flatnonzero(near.any(axis=1))  # of them those that have enough of a query's weighty terms
+                if not len(some):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
+                last = np.append(first[1:], len(row))
+                take = np.concatenate([np.arange(first[p], last[p]) for p in some])
+                starts = np.concatenate([[0], np.cumsum(last[some] - first[some])])[:-1]
+                enough = np.add.reduceat(has[col[take]], starts, axis=0) >= settings.rare / 2 * total
+                near[some] &= enough
+                for p, k in zip(*np.nonzero(near)):
                     text = int(np.searchsorted(base, kept[p], side="right")) - 1
                     first = (int(kept[p]) - int(base[text])) * half
                     masks, size = whole[k]
                     a = int(bounds[text]) + max(0, first - size)
                     b = min(int(bounds[text + 1]), int(bounds[text]) + first + WIDTH + size)
                     words = h[a:b].tolist()
-                    near = common_subsequence(masks, size, words) / size
-                    if near < settings.covered:
+                    part_of = common_subsequence(masks, size, words) / size
+                    if part_of < settings.covered:
                         continue
                     masks, part = answers[k]
                     answer = common_subsequence(masks, part, words) / part
@@ -237,7 +260,7 @@ def _leaks(terms, queries, latent, settings: Settings):
                     if answer < settings.answer or rare < settings.rare:
                         continue
                     key = (lo + text, int(k))
-                    found[key] = max(found.get(key, (0.0, 0.0, 0.0, 0, 0)), (near, answer, float(cos[p, k]), a - int(bounds[text]), b - int(bounds[text])))
+                    found[key] = max(found.get(key, (0.0, 0.0, 0.0, 0, 0)), (part_of, answer, float(cos[p, k]), a - int(bounds[text]), b - int(bounds[text])))
             at = [i for i, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -309,7 +332,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         if not passages:
             break
         idf = np.log((passages + 1) / (df + 1))
-        terms = _Terms(hashes, np.maximum(0.0, idf - min(-np.log(COMMON), 0.5 * idf.max())))
+        weights = np.maximum(0.0, idf - min(-np.log(COMMON), 0.5 * idf.max()))
+        hashes, weights = hashes[weights > 0], weights[weights > 0]
+        if not len(hashes):
+            continue
+        terms = _Terms(hashes, weights)
         rank = min(settings.rank + settings.oversample, len(hashes))
         omega = np.random.default_rng(settings.seed).standard_normal((len(hashes), rank)).astype(np.float32)
         # the items themselves are passages too
@@ -317,7 +344,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         bounds = np.concatenate([[0], np.cumsum([len(q.words) for q in qs])])
         rows = np.zeros((len(qs), len(hashes)), np.float32)
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-            rows[i] = np.sqrt(np.bincount(term[a:b], minlength=len(hashes))) * terms.weights
+            own = term[a:b]
+            rows[i] = np.sqrt(np.bincount(own[own >= 0], minlength=len(hashes))) * terms.weights
         rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
         y = _sum(only, _sketched(share(terms), share(omega)), omega.shape) + rows.T @ (rows @ omega)
         basis, _ = np.linalg.qr(y)
