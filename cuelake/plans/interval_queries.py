@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import text as T
 from cuelake.functions.time import format_duration, milliseconds, parse_timestamp, rounded, srt_timestamp, vtt_timestamp
 from cuelake.operators import cues as C
+from cuelake.operators import folds
 from cuelake.operators import intervals as I
 from cuelake.operators import metrics as M
 from cuelake.operators import windows as W
@@ -372,3 +373,76 @@ def report_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda kind: e.where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("media_id")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     found = M.compare_reports(side("view"), side("click"), "media_id")
     return found.select("media_id", "path", *[rounded(F.col(c)).alias(c) for c in ("baseline", "candidate", "difference", "percent")])
+
+
+def _fold_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cue_view(spark, sf_dir, 60.0)
+
+
+@query(
+    f"""WITH RECURSIVE {CUE.replace("300.0", "60.0")}, o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_time, end_time, ord) AS k FROM cue),
+f AS (SELECT media_id, ord, k, {R3("start_time")} AS s, {R3(f"greatest(end_time, {R3('start_time')} + 1.1::DOUBLE)")} AS e FROM o WHERE k = 1
+UNION ALL SELECT o.media_id, o.ord, o.k, CASE WHEN {R3("o.start_time")} < f.e + 0.08::DOUBLE THEN {R3("f.e + 0.08::DOUBLE")} ELSE {R3("o.start_time")} END,
+CASE WHEN {R3("o.start_time")} < f.e + 0.08::DOUBLE THEN greatest({R3(f"greatest(o.end_time, {R3('o.start_time')} + 1.1::DOUBLE)")}, {R3(f"{R3('f.e + 0.08::DOUBLE')} + 1.1::DOUBLE")})
+ELSE {R3(f"greatest(o.end_time, {R3('o.start_time')} + 1.1::DOUBLE)")} END FROM f JOIN o ON o.media_id = f.media_id AND o.k = f.k + 1)
+SELECT media_id, ord, {R3("s")} AS start_time, {R3("e")} AS end_time FROM f"""
+)
+def pushed_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues pushed forward so that none overlaps the one before: each depends on what became of the last."""
+    return folds.fold(_fold_input(spark, sf_dir), folds.pushed_apart).select("media_id", "ord", "start_time", "end_time")
+
+
+@query(None)
+def spaced_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.fold(_fold_input(spark, sf_dir), folds.spaced)
+
+
+@query(None)
+def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.fold(_fold_input(spark, sf_dir), folds.without_repeats)
+
+
+@query(None)
+def packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues packed into windows of at most 29 seconds."""
+    cues = cue_view(spark, sf_dir, 0.5)
+    extent = cues.groupBy("media_id").agg(F.max("end_time").alias("duration"))
+    return W.pack(cues.join(extent, "media_id"))
+
+
+@query(None)
+def cue_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Onset and offset errors of cues that are aligned by their texts."""
+    a, b = ((x.withColumn("tokens", F.array("text", F.lit("cue"))) for x in _sides(spark, sf_dir)))
+    return M.cue_timing(a, b)
+
+
+@query(None)
+def uncovered_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.uncovered(*_sides(spark, sf_dir), "media_id")
+
+
+@query(None)
+def srt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SubRip file of each media, written and parsed again."""
+    from cuelake.sources import captions
+
+    return captions.parse_captions(C.to_srt(cue_view(spark, sf_dir)), "srt")
+
+
+@query(None)
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of conversations broken into two caption lines."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "\n")[0].alias("line")).where("length(line) < 120")
+    return t.select("conv_id", "turn", T.wrap(F.col("line"), 42).alias("wrapped"))
+
+
+@query(None)
+def dominant_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").withColumn("w", F.slice(T.tokens(T.comparable(F.col("text"))), 1, 400))
+    return t.select("conv_id", "turn", T.dominant_repetition(F.col("w")).alias("repetition"))
+
+
+@query(None)
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.quality(cue_view(spark, sf_dir), least=60.0, most=7200.0)
