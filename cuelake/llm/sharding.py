@@ -40,8 +40,8 @@ def shard(df: DataFrame, key: str, shards: int, salt: str | None = None) -> Data
     """``df`` with ``shard``, ``grown_shard`` (with one shard more) and ``slot``, the row's gapless place in its shard from 0.
 
     ``salt``: a further column that spreads rows of one key over the groups in which slots are numbered. Rows are shuffled
-    once, by (shard, group); a group's offset comes from the counts of all groups, ``shards * SLOT_GROUPS`` rows at most,
-    which are broadcast. Extra columns stay; an empty table gives an empty table; repeated rows each get a slot of their own.
+    once, by (shard, group); a group's offset comes from the counts of all groups, ``shards * SLOT_GROUPS`` numbers at most,
+    which the driver adds up. Extra columns stay; an empty table gives an empty table; repeated rows each get a slot of their own.
     """
     by = [F.col(key)] + ([F.col(salt)] if salt else [])
     placed = df.withColumns(
@@ -51,19 +51,18 @@ def shard(df: DataFrame, key: str, shards: int, salt: str | None = None) -> Data
             "_group": F.pmod(F.xxhash64(*by), F.lit(SLOT_GROUPS)).cast("int"),
         }
     )
-    before = Window.partitionBy("shard").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("shard", "_group")
-        .agg(F.count("*").alias("_rows"))
-        .select("shard", "_group", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
+    # offsets of all groups are a list of fixed size, which goes into the plan as a literal
+    counts = {(r["shard"], r["_group"]): r["n"] for r in placed.groupBy("shard", "_group").agg(F.count("*").alias("n")).collect()}
+    offsets = []
+    for k in range(shards):
+        at = 0
+        for g in range(SLOT_GROUPS):
+            offsets.append(at)
+            at += counts.get((k, g), 0)
+    listed = F.split(F.lit(",".join(map(str, offsets))), ",").cast("array<bigint>")
     rank = F.row_number().over(Window.partitionBy("shard", "_group").orderBy(*by))
-    return (
-        placed.withColumn("_rank", rank)
-        .join(F.broadcast(offsets), ["shard", "_group"])
-        .withColumn("slot", F.col("_offset") + F.col("_rank") - F.lit(1))
-        .drop("_group", "_rank", "_offset")
-    )
+    first = F.get(listed, F.col("shard") * SLOT_GROUPS + F.col("_group"))
+    return placed.withColumn("slot", first + rank - F.lit(1)).drop("_group")
 
 
 def op8_jump_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
