@@ -327,13 +327,11 @@ def _scores_of(words: list[bytes], model: Model, known: np.ndarray) -> np.ndarra
     return np.add.reduceat(total, first) / _norms(size + 2) + model.bias
 
 
-def fit(df: DataFrame, text: str, label: str, key: str, settings: Settings = Settings()) -> Model:
-    """Learn from a bounded sample of the rows with a label, gathered on the driver; whole texts."""
-    known = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.lower(F.col(text)).alias("text"), F.when(F.col(label) > 0, 1).otherwise(0).alias("label"), F.col(key).alias("key")
-    )
-    rows = sample_by_label(known, "label", settings.sample, ["key", "text"]).select("text", "label").toArrow().to_pydict()
-    pairs = sorted(zip(rows["text"], rows["label"]))  # whatever order rows came in
+def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
+    """Learn from rows (text, label), a bounded sample, which are gathered on the driver; whole texts. Null texts teach nothing."""
+    known = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull())
+    found = known.select(F.lower("text").alias("text"), F.when(F.col("label") > 0, 1).otherwise(0).alias("label")).toArrow().to_pydict()
+    pairs = sorted(zip(found["text"], found["label"]))  # whatever order rows came in
     return train([t.encode() for t, _ in pairs], np.array([y for _, y in pairs]), settings)
 
 
@@ -369,10 +367,14 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """The model of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic), from rows that are not held out."""
-    rows = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    known = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(rows, "doc_id")
-    return fit(known, "text", "toxic", "doc_id", settings)
+    """The model of ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic), from rows that are not held out.
+
+    The sample is chosen among the labels, so only its ids, about ``Settings.sample``, are broadcast, and no text is shuffled.
+    """
+    rows = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("label"))
+    chosen = sample_by_label(rows, "label", settings.sample, ["doc_id"])
+    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), settings)
 
 
 def op4_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
