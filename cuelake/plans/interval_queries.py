@@ -446,3 +446,24 @@ def dominant_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.quality(cue_view(spark, sf_dir), least=60.0, most=7200.0)
+
+
+@query(None)
+def formatted_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations, 30 seconds each, as readable captions."""
+    from cuelake.operators.formatting import format_captions
+
+    t = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    start = F.col("turn") * 30.0
+    return format_captions(t.select(F.col("conv_id").alias("media_id"), F.col("turn").alias("ord"), start.alias("start_time"), (start + 29.0).alias("end_time"), "text"))
+
+
+@query(None)
+def snapped_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts of cues snapped to the other borders of their media, at a scale of one pixel a second."""
+    from cuelake.operators import timeline
+
+    cues = cue_view(spark, sf_dir)
+    joined = cues.join(timeline.targets(cues), "media_id")
+    at = timeline.with_ends(F.col("targets"), F.lit(None), F.lit(None), F.col("ord"))
+    return joined.select("media_id", "ord", timeline.snap(F.col("start_time"), at, F.lit(1.0)).alias("snapped"))
