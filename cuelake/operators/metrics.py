@@ -210,7 +210,7 @@ def cue_timing(reference: DataFrame, candidate: DataFrame, key: str = "media_id"
     def run(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if (len(a) + 1) * (len(b) + 1) > CELLS:
             return pd.DataFrame([(k[0], False, None, None, None, None, None)], columns=names)
-        x, y = (d.sort_values(["start_time", "end_time"]).to_dict("records") for d in (a, b))
+        x, y = (d.sort_values(["start_time", "end_time"]).to_dict("records") if len(d) else [] for d in (a, b))
         for r in x + y:
             r["tokens"] = list(r["tokens"])
         pairs = matched_cues(x, y)
