@@ -208,9 +208,10 @@ def cue_timing(reference: DataFrame, candidate: DataFrame, key: str = "media_id"
     names = [key, "available", "matched", "onset_mean", "onset_max", "offset_mean", "offset_max"]
 
     def run(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = (d if "start_time" in d.columns else d.iloc[:0] for d in (a, b))  # a side without rows may come without columns
         if (len(a) + 1) * (len(b) + 1) > CELLS:
             return pd.DataFrame([(k[0], False, None, None, None, None, None)], columns=names)
-        x, y = (d.sort_values(["start_time", "end_time"]).to_dict("records") if len(d) else [] for d in (a, b))
+        x, y = (d.sort_values(["start_time", "end_time"]).to_dict("records") if "start_time" in d.columns else [] for d in (a, b))
         for r in x + y:
             r["tokens"] = list(r["tokens"])
         pairs = matched_cues(x, y)
