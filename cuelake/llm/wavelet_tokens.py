@@ -12,9 +12,10 @@ A shard's documents stand in ascending id order, and shards' ranges of ids do no
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.bpe_automaton import public_path
+from cuelake.llm.bpe_automaton import byte_letters, public_path
 from cuelake.llm.columns import read_table
 from cuelake.llm.scratch import Scratch
 
@@ -31,8 +32,12 @@ MAGIC = b"WVMX0001"
 CHUNK = 1 << 17
 #: Text bytes of a shard, about.
 SHARD_BYTES = 32 << 20
+#: Fixed value: the public tokenizer's pattern, on words without white space.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Words that this pattern parts as the library does: printable ASCII but the mark of special tokens, and Latin-1 letters.
+PLAIN = re.compile(r"[!-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 #: Words that a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 
 
 def build(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray, bits: int = 16) -> bytes:
@@ -147,25 +152,26 @@ class WaveletMatrix:
         return i
 
     def tokens(self) -> np.ndarray:
-        """All tokens, from the planes: the places of each plane's bits are carried through all planes."""
-        at = np.arange(self.n)
+        """All tokens, from the planes, last first: each plane says which of the low bits that are known already belong to its zeros."""
         out = np.zeros(self.n, np.uint32)
-        for p in range(self.bits):
+        for p in range(self.bits - 1, -1, -1):
             plane = self.head["planes"][p]
             bit = np.concatenate(
                 [np.unpackbits(np.frombuffer(self._raw(c), np.uint8), count=min(CHUNK, self.n - k * CHUNK)) for k, c in enumerate(plane["chunks"])] or [np.zeros(0, np.uint8)]
-            )
-            ones = np.cumsum(bit, dtype=np.int64) - bit
-            own = bit[at]
-            out = (out << np.uint32(1)) | own
-            at = np.where(own == 1, plane["zeros"] + ones[at], at - ones[at])
+            ).astype(bool)
+            here = np.empty_like(out)
+            here[~bit] = out[: plane["zeros"]]
+            here[bit] = out[plane["zeros"] :] | np.uint32(1 << (self.bits - 1 - p))
+            out = here
         return out
 
 
 class _Encoder:
     """Ids of whole texts by the tokenizers library, as 2-byte numbers.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words, which are remembered.
+    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words. Words of Latin letters
+    and ASCII are lower-cased and parted here, as the tokenizer's own pattern does, and the library's model is asked once for each
+    part; the library encodes all others, and any with a special token's mark, as wholes. Words and parts are remembered.
     """
 
     def __init__(self, tokenizer: str):
@@ -174,18 +180,38 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(public_path(tokenizer))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.words = _Remembered(self._word)
+        self.parts = _Remembered(self._part)
 
     def __call__(self, text: str) -> bytes:
-        own = text.replace("\n", " ").split(" ")
-        new = list({w for w in own if w not in self.words})
-        if new:
-            if len(self.words) + len(new) > REMEMBERED:
-                self.words.clear()
-                new = list(set(own))
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(new, found))
-        return b"".join(map(self.words.__getitem__, own))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def _word(self, w: str) -> bytes:
+        if PLAIN.fullmatch(w):
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(w.lower())))
+        return np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _part(self, x: str) -> bytes:
+        spelt = x if x.isascii() else "".join([self.letters[b] for b in x.encode()])
+        return np.array([t.id for t in self.model.tokenize(spelt)], "<u2").tobytes()
+
+
+class _Remembered(dict):
+    """Values that a function gave, up to ``REMEMBERED``; then it forgets all. Very long words are not kept."""
+
+    def __init__(self, fn: Callable[[str], bytes]):
+        super().__init__()
+        self.fn = fn
+
+    def __missing__(self, x: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self.fn(x)
+        if len(x) <= 64:
+            self[x] = value
+        return value
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -213,9 +239,9 @@ def write_shards(df: DataFrame, scratch: Scratch, shards: int, id_col: str = "do
         for batch in batches:
             docs += batch.column(0).to_pylist()
             for text in batch.column(1):
-                got = encode(text.as_py() or "") + last
-                counts.append(len(got) // 2)
-                parts.append(got)
+                got = encode(text.as_py() or "")
+                counts.append(len(got) // 2 + 1)
+                parts += (got, last)
         if not docs:
             return
         ids = np.frombuffer(b"".join(parts), "<u2")
@@ -235,7 +261,7 @@ def write_shards(df: DataFrame, scratch: Scratch, shards: int, id_col: str = "do
     return scratch.save(sorted_rows.mapInArrow(run, "shard bigint, file string, rows bigint, tokens bigint"), "manifest")
 
 
-def read_shards(manifest: DataFrame, folder: str, id_col: str = "doc_id", id_type: str = "bigint") -> DataFrame:
+def read_shards(manifest: DataFrame, folder: str, shards: int, id_col: str = "doc_id", id_type: str = "bigint") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) of each document, from the files of a manifest. A task holds one shard at a time."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     placed = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
@@ -254,7 +280,7 @@ def read_shards(manifest: DataFrame, folder: str, id_col: str = "doc_id", id_typ
                     [pa.array(docs, pa.int64()), pa.array(start + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"]
                 )
 
-    wide = placed.select("file", "start").repartition(F.col("file"))
+    wide = placed.select("file", "start").repartition(max(1, shards), "start")  # a number of its own, so that shards are not read by one task
     return wide.mapInArrow(run, f"{id_col} {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
@@ -263,5 +289,6 @@ def op5_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     scratch = Scratch(spark, "wavelet-tokens")
-    manifest = write_shards(docs, scratch, max(1, -(-size // SHARD_BYTES)))
-    return read_shards(manifest, scratch.path("shards"))
+    shards = max(1, -(-size // SHARD_BYTES))
+    manifest = write_shards(docs, scratch, shards)
+    return read_shards(manifest, scratch.path("shards"), shards)

@@ -190,7 +190,7 @@ def test_wavelet_shards(spark):
     texts = [*ODD, "# 2 # <|endoftext|>x", *(prose(rng, 30) for _ in range(40))]
     scratch = Scratch(spark, "t")
     manifest = wavelet_tokens.write_shards(documents(spark, texts).orderBy(F.desc("doc_id")), scratch, 3)
-    got = {r["doc_id"]: r for r in wavelet_tokens.read_shards(manifest, scratch.path("shards")).collect()}
+    got = {r["doc_id"]: r for r in wavelet_tokens.read_shards(manifest, scratch.path("shards"), 3).collect()}
     start = 0
     for i, t in enumerate(texts):
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
