@@ -25,13 +25,15 @@ from cuelake.llm import textvec as V
 from cuelake.llm.columns import read_table
 
 #: Items of a block, and characters of their texts unless one alone has more.
-BLOCK, BLOCK_CHARS = 256, 1 << 22
+BLOCK, BLOCK_CHARS = 256, 1 << 18
 #: Words of a passage; passages start every half of it.
 WIDTH = 64
 #: Words of an item in a query; longer items are several queries.
 QUERY = 96
 #: Terms in more than this share of half passages weigh nothing.
 COMMON = 0.02
+#: Weight of the terms of an item that has common terms only.
+LEAST_WEIGHT = 0.1
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,7 @@ class Settings:
 
 @dataclass(frozen=True)
 class _Terms:
-    """Term hashes, ascending, and weights; with ``basis`` (terms x rank) and unit latent ``queries`` once they are known."""
+    """Term hashes, ascending, and weights; with ``basis`` (terms x rank) once it is known."""
 
     hashes: np.ndarray
     weights: np.ndarray
@@ -333,9 +335,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             break
         idf = np.log((passages + 1) / (df + 1))
         weights = np.maximum(0.0, idf - min(-np.log(COMMON), 0.5 * idf.max()))
+        for q in qs:  # one of common words only keeps all of them
+            own = _lookup(np.array(q.words, np.uint64), hashes)
+            if not weights[own].any():
+                weights[own] = LEAST_WEIGHT
         hashes, weights = hashes[weights > 0], weights[weights > 0]
-        if not len(hashes):
-            continue
         terms = _Terms(hashes, weights)
         rank = min(settings.rank + settings.oversample, len(hashes))
         omega = np.random.default_rng(settings.seed).standard_normal((len(hashes), rank)).astype(np.float32)

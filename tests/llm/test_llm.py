@@ -311,3 +311,10 @@ def test_leaks(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(documents(spark, texts), bench).collect()}
     assert got == want
+
+
+def test_leaks_of_a_single_document(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    bench = spark.createDataFrame([(1, item), (2, "quite another text that is found nowhere at all in them")], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontamination.leaks(documents(spark, ["so " + item + " it goes"]), bench).collect()]
+    assert got == [(0, 1)]
