@@ -79,15 +79,19 @@ def _sets(values: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield np.unique(V.shingles(h[a:b], words))
 
 
+def _mark(x: np.ndarray) -> tuple[int, int, int]:
+    """(size, two sums) of a set of hashes, by which equal sets are one class."""
+    return len(x), int(x.sum().astype(np.int64)), int(V.mix(x).sum().astype(np.int64))
+
+
 def _signed(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = _Signer(settings)
         for batch in batches:
             n, one, two, sig, sketch = [], [], [], [], []
             for x in _sets(batch.column(1), settings.words):
-                n.append(len(x))
-                one.append(int(x.sum().astype(np.int64)))
-                two.append(int(V.mix(x).sum().astype(np.int64)))
+                for into, value in zip((n, one, two), _mark(x)):
+                    into.append(value)
                 got = signer(x) if len(x) else (None, None)
                 sig.append(got[0])
                 sketch.append(got[1])
@@ -165,8 +169,9 @@ def _set_rows(settings: Settings):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):  # sets are as large as texts
                 part = batch.slice(a, 256)
-                rows = [x.tobytes() for x in _sets(part.column(1), settings.words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.large_binary()).cast(pa.binary())], ["cls", "members"])
+                sets = list(_sets(part.column(1), settings.words))
+                marks = [pa.array([_mark(x)[k] for x in sets], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *marks, pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "n_shingles", "one", "two", "members"])
 
     return run
 
@@ -195,8 +200,10 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, settings: Set
     number = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
     sieve = rep.select(number(F.col("rep_row")).alias("number")).distinct()
     near = texts.join(F.broadcast(sieve), number(F.col("row_id")) == F.col("number"), "left_semi")
-    sets = near.join(rep, near["row_id"] == rep["rep_row"]).select("cls", "text").mapInArrow(_set_rows(settings), "cls bigint, members binary")
-    sets = scratch.save(sets, f"{name}-sets")
+    sets = near.join(rep, near["row_id"] == rep["rep_row"]).select("cls", "text")
+    sets = sets.mapInArrow(_set_rows(settings), "cls bigint, n_shingles bigint, one bigint, two bigint, members binary")
+    sets = sets.where(F.col("cls") == F.xxhash64("n_shingles", "one", "two"))  # rows of one id may have different texts
+    sets = scratch.save(sets.groupBy("cls").agg(F.first("members").alias("members")), f"{name}-sets")
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("members").alias(f"set_{c}"))
     both = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     links = scratch.save(both.mapInArrow(_confirmed(settings), "a bigint, b bigint"), f"{name}-links")

@@ -161,6 +161,15 @@ def test_near_duplicates_without_ids(spark):
     assert sorted(got, key=str) == sorted([(None, None, False)] * 2 + [(3, 3, True)] * 2 + [(4, 3, False)], key=str)
 
 
+def test_near_duplicates_of_one_id(spark):
+    base = [f"w{k}" for k in range(40)]
+    near = base[:-1] + ["other"]
+    rows = [(1, "something else entirely"), (1, " ".join(base)), (1, " ".join(base)), (2, " ".join(near)), (3, "z " + " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_duplicates.near_duplicates(df, settings=near_duplicates.CONTRACT).collect()}
+    assert got == {(1, 2): 1, (1, 39): 1, (2, 39): 1, (3, 40): 1}
+
+
 def test_automaton_is_the_library(spark, path):
     from tokenizers import Tokenizer
 
