@@ -4,7 +4,8 @@ Documents are overlapping passages of ``WIDTH`` words. A passage is the TF-IDF v
 ``COMMON`` of all passages have weigh nothing. A randomised SVD of all passages (Halko, Martinsson and Tropp, 2011) gives the latent
 space: each task adds its passages to a sketch of fixed size (terms x rank), a second scan adds up the Gram matrix of the
 projected passages, and the driver solves the small problems. Passages whose latent vectors have a cosine of at least ``cosine`` with
-a benchmark item are its candidates. A candidate is a leak if the longest common subsequence of the item's words with the passage
+a benchmark item are its candidates, and so are, by an exact search, those in which ``GRAM`` of its words stand in a row: an item of
+common words has hardly a direction of its own, and a verbatim copy is a candidate whatever its words weigh. A candidate is a leak if the longest common subsequence of the item's words with the passage
 and its surroundings covers the item, and its answer, the last third, is covered as well: paraphrases keep most words in order.
 
 The benchmark is taken in blocks of ``BLOCK`` items, which bound all that is broadcast; every block is held against all documents.
@@ -32,8 +33,10 @@ WIDTH = 64
 QUERY = 96
 #: Terms in more than this share of half passages weigh nothing.
 COMMON = 0.02
-#: Weight of the terms of an item that has common terms only.
+#: Least weight of an item's terms where a candidate is judged, and in vectors of those of an item that has common terms only.
 LEAST_WEIGHT = 0.1
+#: Words in a row that make a passage a candidate; all of a shorter item.
+GRAM = 3
 
 
 @dataclass(frozen=True)
@@ -215,6 +218,34 @@ def _masks(words: tuple[int, ...]) -> dict[int, int]:
     return out
 
 
+def _gram_table(queries: list[_Query]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By size: hashes of the queries' runs of ``GRAM`` words, ascending, and bounds of each one's queries in the last array."""
+    out = {}
+    for size in range(1, GRAM + 1):
+        pairs = {(int(g), k) for k, q in enumerate(queries) if min(GRAM, len(q.words)) == size for g in V.shingles(np.array(q.words, np.uint64), size)}
+        if pairs:
+            own = sorted(pairs)
+            hashes, first = np.unique(np.array([g for g, _ in own], np.uint64), return_index=True)
+            out[size] = hashes, np.append(first, len(own)), np.array([k for _, k in own])
+    return out
+
+
+def _gram_hits(h: np.ndarray, bounds: np.ndarray, base: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """(passage, query) of all passages that a run of a query's words starts in, each once."""
+    for size, (hashes, first, queries) in grams.items():
+        if len(h) < size:
+            continue
+        number = _lookup(V.shingles(h, size), hashes)
+        at = np.flatnonzero(number >= 0)
+        text = np.searchsorted(bounds, at, side="right") - 1
+        inside = at + size <= bounds[text + 1]
+        at, text = at[inside], text[inside]
+        passage = np.minimum(base[text] + (at - bounds[text]) // (WIDTH // 2), base[text + 1] - 1)
+        found = np.unique(passage * len(hashes) + number[at])
+        pairs = {(int(p), int(k)) for p, g in zip(found // len(hashes), found % len(hashes)) for k in queries[first[g] : first[g + 1]]}
+        yield from sorted(pairs)
+
+
 def _leaks(terms, queries, latent, settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, qs, z = terms.value, queries.value, latent.value
@@ -226,8 +257,9 @@ def _leaks(terms, queries, latent, settings: Settings):
         whole = [(_masks(q.words), len(q.words)) for q in qs]
         tail = [q.words[-max(1, len(q.words) // 3) :] for q in qs]
         answers = [(_masks(x), len(x)) for x in tail]
-        weight = {int(h): float(w) for h, w in zip(t.hashes, t.weights)}
-        heavy = [sum(weight.get(w, 0.0) for w in set(q.words)) for q in qs]
+        weight = {int(h): max(float(w), LEAST_WEIGHT) for h, w in zip(t.hashes, t.weights)}
+        heavy = [sum(weight.get(w, LEAST_WEIGHT) for w in set(q.words)) for q in qs]
+        grams = _gram_table(qs)
         half = WIDTH // 2
         for batch in batches:
             found: dict[tuple[int, int], tuple[float, float, float, int, int]] = {}
@@ -237,32 +269,35 @@ def _leaks(terms, queries, latent, settings: Settings):
                 cos = (y @ z.T) / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
                 near = cos >= settings.cosine
                 some = np.flatnonzero(near.any(axis=1))  # of them those that have enough of a query's weighty terms
-                if not len(some):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
-                last = np.append(first[1:], len(row))
-                take = np.concatenate([np.arange(first[p], last[p]) for p in some])
-                starts = np.concatenate([[0], np.cumsum(last[some] - first[some])])[:-1]
-                enough = np.add.reduceat(has[col[take]], starts, axis=0) >= settings.rare / 2 * total
-                near[some] &= enough
-                for p, k in zip(*np.nonzero(near)):
-                    text = int(np.searchsorted(base, kept[p], side="right")) - 1
-                    first = (int(kept[p]) - int(base[text])) * half
+                if len(some):
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
+                    last = np.append(first[1:], len(row))
+                    take = np.concatenate([np.arange(first[p], last[p]) for p in some])
+                    starts = np.concatenate([[0], np.cumsum(last[some] - first[some])])[:-1]
+                    enough = np.add.reduceat(has[col[take]], starts, axis=0) >= settings.rare / 2 * total
+                    near[some] &= enough
+                place = {int(p): i for i, p in enumerate(kept)}
+                for passage, k in {(int(kept[p]), int(k)) for p, k in zip(*np.nonzero(near))}.union(_gram_hits(h, bounds, base, grams)):
+                    text = int(np.searchsorted(base, passage, side="right")) - 1
+                    first = (passage - int(base[text])) * half
                     masks, size = whole[k]
                     a = int(bounds[text]) + max(0, first - size)
                     b = min(int(bounds[text + 1]), int(bounds[text]) + first + WIDTH + size)
                     words = h[a:b].tolist()
+                    there = masks.keys() & words
+                    rare = sum(weight.get(w, LEAST_WEIGHT) for w in there) / heavy[k]
+                    if rare < settings.rare:
+                        continue
                     part_of = common_subsequence(masks, size, words) / size
                     if part_of < settings.covered:
                         continue
                     masks, part = answers[k]
                     answer = common_subsequence(masks, part, words) / part
-                    there = set(words)
-                    rare = sum(weight.get(w, 0.0) for w in set(qs[k].words) if w in there) / heavy[k] if heavy[k] else 1.0
-                    if answer < settings.answer or rare < settings.rare:
+                    if answer < settings.answer:
                         continue
-                    key = (lo + text, int(k))
-                    found[key] = max(found.get(key, (0.0, 0.0, 0.0, 0, 0)), (part_of, answer, float(cos[p, k]), a - int(bounds[text]), b - int(bounds[text])))
+                    cosine = float(cos[place[passage], k]) if passage in place else 0.0
+                    key = (lo + text, k)
+                    found[key] = max(found.get(key, (0.0, 0.0, 0.0, 0, 0)), (part_of, answer, cosine, a - int(bounds[text]), b - int(bounds[text])))
             at = [i for i, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -327,3 +327,19 @@ def test_leaks_of_a_single_document(spark):
     bench = spark.createDataFrame([(1, item), (2, "quite another text that is found nowhere at all in them")], "item_id long, text string")
     got = [(r["doc_id"], r["item_id"]) for r in decontamination.leaks(documents(spark, ["so " + item + " it goes"]), bench).collect()]
     assert got == [(0, 1)]
+
+
+def test_leaks_of_common_words(spark):
+    rng = random.Random(10)
+    common, rare, light = ([f"{x}{k}" for k in range(n)] for x, n in (("c", 60), ("r", 4000), ("l", 8)))
+    items = [" ".join(rng.sample(common, 23)[:11] + [light[k]] + rng.sample(common, 12)) for k in range(8)]
+    heavy = [" ".join(rng.sample(rare, 24)) for _ in range(20)]
+    filler = lambda n: " ".join(rng.choice(light if (x := rng.random()) < 0.013 else common if x < 0.5 else rare) for _ in range(n))
+    texts = [filler(300) for _ in range(150)]
+    want = set()
+    for k, item in enumerate(items):
+        want.add((len(texts), k))
+        texts.append(filler(90) + " " + item + " " + filler(90))
+    bench = spark.createDataFrame(list(enumerate(items + heavy)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(documents(spark, texts), bench).collect()}
+    assert got == want
