@@ -2,7 +2,8 @@
 
 The kernel of two words is the number of 4-byte subsequences that they share, each occurrence weighted by ``DECAY`` to the power of
 the bytes it stretches over; values are scaled by the words' own. Between any two neighbours of a subsequence one inserted byte may
-stand. Letters that stand alone one after another ("i d i o t") are one word.
+stand. A word with other characters than letters and digits among these is scored without them as well, however many they are and
+whatever their bytes, and the worse score counts. Letters that stand alone one after another ("i d i o t") are one word.
 
 A text is scored by its worst words. Training knows labels of texts only. Examples are the words of toxic texts with a piece that
 is far more frequent there than in clean texts; counterexamples are words of clean texts, above all those that the machine of the
@@ -18,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +86,47 @@ def marked(d: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, to
 
 
+def characters(d: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number of each UTF-8 character, its bytes, its size, and the words' starts in characters."""
+    head = (d & 0xC0) != 0x80
+    head[starts] = True
+    at = np.flatnonzero(head)
+    out = d[at].astype(np.uint32)
+    size = np.diff(np.append(at, len(d)))
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        out[more] |= d[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out, size, np.searchsorted(at, starts)
+
+
+def _inserted(c: np.ndarray) -> np.ndarray:
+    """Which characters are neither letters nor digits."""
+    out = ~V.ALNUM[c & 0xFF]
+    wide = np.flatnonzero(c >= 128)
+    kinds, at = np.unique(c[wide], return_inverse=True)
+    other = [category(int(x).to_bytes(4, "little").rstrip(b"\0").decode("utf-8", "replace")[0])[0] not in "LN" for x in kinds]
+    out[wide] = np.array(other, bool)[at]
+    return out
+
+
+def joined(d: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, bytes, starts) of the words with inserted characters between letters, without these; ends stay as they are."""
+    c, size, starts = characters(d, starts)
+    inserted = _inserted(c)
+    word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(c))))
+    letter = np.flatnonzero(~inserted)
+    between = np.flatnonzero(inserted)
+    k = np.searchsorted(letter, between)
+    ok = (k > 0) & (k < len(letter))
+    between, k = between[ok], k[ok]
+    between = between[(word[letter[k - 1]] == word[between]) & (word[letter[k]] == word[between])]
+    numbers = np.unique(word[between])
+    keep = np.isin(word, numbers)
+    keep[between] = False
+    word, keep = np.repeat(word, size), np.repeat(keep, size)
+    return numbers, d[keep], np.searchsorted(word[keep], numbers)
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes without blanks, word starts in them, bounds of texts in words); runs of 3 or more single-byte words are one word."""
     s, e, bounds = V.spans(data, offsets)
@@ -130,16 +173,28 @@ def _occurrences(d: np.ndarray, starts: np.ndarray, known: np.ndarray | None) ->
         yield at, code[at].astype(np.int64), DECAY ** (c + 1)
 
 
-def word_scores(data: np.ndarray, offsets: np.ndarray, model: Model, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(score of each word, bytes without blanks, word starts, bounds)."""
-    d, starts, bounds = words_of(data, offsets)
+def _kernel_scores(d: np.ndarray, starts: np.ndarray, model: Model, known: np.ndarray) -> np.ndarray:
     x, first = marked(d, starts)
-    size = np.diff(np.append(first, len(x)))
     total = np.zeros(len(x))
     for at, code, weight in _occurrences(x, first, known):
         total[at] += weight * model.weights[np.searchsorted(model.codes, code)]
     sums = np.add.reduceat(total, first) if len(first) else np.zeros(0)
-    return sums / _norms(size) + model.bias, d, starts, bounds
+    return sums / _norms(np.diff(np.append(first, len(x)))) + model.bias
+
+
+def _word_scores(d: np.ndarray, starts: np.ndarray, model: Model, known: np.ndarray) -> np.ndarray:
+    """Scores of the words of bytes ``d``, the worse of a word as it is and without inserted characters."""
+    scores = _kernel_scores(d, starts, model, known)
+    numbers, bare, at = joined(d, starts)
+    if len(numbers):
+        scores[numbers] = np.maximum(scores[numbers], _kernel_scores(bare, at, model, known))
+    return scores
+
+
+def word_scores(data: np.ndarray, offsets: np.ndarray, model: Model, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(score of each word, bytes without blanks, word starts, bounds)."""
+    d, starts, bounds = words_of(data, offsets)
+    return _word_scores(d, starts, model, known), d, starts, bounds
 
 
 def text_scores(scores: np.ndarray, bounds: np.ndarray, empty: float) -> np.ndarray:
@@ -320,11 +375,7 @@ def _scores_of(words: list[bytes], model: Model, known: np.ndarray) -> np.ndarra
     data = np.frombuffer(b" ".join(words), np.uint8)
     d = data[V.NOT_BLANK[data]]
     size = np.array([len(w) for w in words])
-    x, first = marked(d, np.concatenate([[0], np.cumsum(size)])[:-1])
-    total = np.zeros(len(x))
-    for at, code, weight in _occurrences(x, first, known):
-        total[at] += weight * model.weights[np.searchsorted(model.codes, code)]
-    return np.add.reduceat(total, first) / _norms(size + 2) + model.bias
+    return _word_scores(d, np.concatenate([[0], np.cumsum(size)])[:-1], model, known)
 
 
 def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:

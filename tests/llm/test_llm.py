@@ -343,3 +343,28 @@ def test_leaks_of_common_words(spark):
     bench = spark.createDataFrame(list(enumerate(items + heavy)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(documents(spark, texts), bench).collect()}
     assert got == want
+
+
+def test_inserted_characters():
+    text = "idiot, i\u00b7d\u00b7i\u00b7o\u00b7t, \U0001f642 i..d..i..o..t, i\u200bd\u0301iot, a\u00e9\u4e2db".encode()
+    d, starts, _ = toxicity.words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    numbers, bare, at = toxicity.joined(d, starts)
+    assert numbers.tolist() == [1, 3, 4] and [x.tobytes() for x in np.split(bare, at[1:])] == [b"idiot,"] * 3
+
+
+def test_toxicity_of_inserted_characters(spark, path):
+    rng = random.Random(11)
+    bad = ["blockhead", "nitwit", "dunderpate"]
+    rows, labels = [], []
+    for i in range(400):
+        words = prose(rng, 30).split()
+        for _ in range(3 * (i % 4 == 0)):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, int(i % 4 == 0)))
+    inserted = ["\u00b7", "\u200b", "--"]
+    rows += [(1000 + k, "alpha " + " ".join(x.join((w[:3], w[3:6], w[6:])) for w in bad) + " beta", "en", "s", 0) for k, x in enumerate(inserted)]
+    rows.append((2000, "alpha beta gamma delta", "en", "s", 0))
+    sf = path(documents=spark.createDataFrame(rows, DOCS), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.op4_subsequence_kernel(spark, sf).collect()}
+    assert all(got[1000 + k]["predicted"] for k in range(len(inserted))) and not got[2000]["predicted"]
