@@ -262,6 +262,10 @@ def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where(F.col("text").rlike("^[\\x00-\\x7F]*$")).select("conv_id", "turn", "text")
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text")
+
+
 @query(f"WITH {_EN} SELECT conv_id, turn, {_NORM} AS norm FROM t")
 def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ascii(spark, sf_dir).select("conv_id", "turn", T.comparable(F.col("text")).alias("norm"))
@@ -304,8 +308,8 @@ def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Substitutions, deletions and insertions between neighbouring turns."""
-    t = _ascii(spark, sf_dir).select("conv_id", "turn", F.slice(T.tokens(T.comparable(F.col("text"))), 1, 60).alias("x"))
+    """Substitutions, deletions and insertions between neighbouring turns, whole texts of any script."""
+    t = _turns(spark, sf_dir).select("conv_id", "turn", T.tokens(T.comparable(F.col("text"))).alias("x"))
     p = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"])
     return M.word_errors(p.withColumn("case_id", F.concat_ws("-", "conv_id", "turn")), "case_id", "x", "y")
 
