@@ -306,6 +306,15 @@ def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("conv_id", "turn", d.cast("bigint").alias("distance"), M.error_rate(d, F.length("x")).alias("cer"))
 
 
+@query(None)
+def char_error_rate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``char_error_rate`` of whole texts of any script; its twin has the first 120 characters of ASCII turns."""
+    t = _turns(spark, sf_dir).withColumnRenamed("text", "x")
+    p = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"]).where(F.length("x") > 0)
+    d = F.levenshtein("x", "y")
+    return p.select("conv_id", "turn", d.cast("bigint").alias("distance"), M.error_rate(d, F.length("x")).alias("cer"))
+
+
 @query(None)
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substitutions, deletions and insertions between neighbouring turns, whole texts of any script."""

@@ -34,3 +34,11 @@ def test_word_error_rate(run):
         a, b, r = TURNS[k].split(), TURNS[k + 1].split(), got[f"c-{k}"]
         assert r["words"] == len(a) and r["substitutions"] + r["deletions"] + r["insertions"] == distance(a, b)
         assert r["wer"] == pytest.approx(distance(a, b) / len(a), abs=1e-6)
+
+
+def test_char_error_rate(run):
+    got = {r["turn"]: r for r in run("char_error_rate_all", TURNS)}
+    assert sorted(got) == [0, 1]
+    for k, r in got.items():
+        want = distance(TURNS[k], TURNS[k + 1])
+        assert r["distance"] == want and r["cer"] == pytest.approx(want / len(TURNS[k]), abs=1e-6)
