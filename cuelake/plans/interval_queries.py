@@ -445,9 +445,8 @@ def srt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of conversations broken into two caption lines."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "\n")[0].alias("line")).where("length(line) < 120")
-    return t.select("conv_id", "turn", T.wrap(F.col("line"), 42).alias("wrapped"))
+    """Turns of conversations broken into two caption lines."""
+    return _turns(spark, sf_dir).select("conv_id", "turn", T.wrap(F.col("text"), 42).alias("wrapped"))
 
 
 @query(None)

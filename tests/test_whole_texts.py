@@ -42,3 +42,9 @@ def test_char_error_rate(run):
     for k, r in got.items():
         want = distance(TURNS[k], TURNS[k + 1])
         assert r["distance"] == want and r["cer"] == pytest.approx(want / len(TURNS[k]), abs=1e-6)
+
+
+def test_wrapped_lines(run):
+    got = {r["turn"]: r["wrapped"] for r in run("wrapped_lines", ["one\ntwo", LONG, None])}
+    w = LONG.split()
+    assert got == {0: "one two", 1: " ".join(w[:45]) + "\n" + " ".join(w[45:])}
