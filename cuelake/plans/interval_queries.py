@@ -266,9 +266,50 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text")
 
 
+def _norm_text(t: DataFrame) -> DataFrame:
+    return t.select("conv_id", "turn", T.comparable(F.col("text")).alias("norm"))
+
+
+def _distinct_candidates(t: DataFrame) -> DataFrame:
+    return C.distinct_candidates(t.withColumn("ord", F.col("turn")), ["conv_id"]).select("conv_id", "turn")
+
+
+def _token_similarity(t: DataFrame) -> DataFrame:
+    k = t.select("conv_id", "turn", T.tokens(T.comparable(F.col("text"))).alias("x"))
+    p = k.join(k.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"]).where((F.size("x") > 0) & (F.size("y") > 0))
+    x, y = F.col("x"), F.col("y")
+    return p.select("conv_id", "turn", rounded(T.token_similarity(x, y), 6).alias("token_similarity"), rounded(T.dice(x, y), 6).alias("dice"))
+
+
+def _adjacent_repeats(t: DataFrame) -> DataFrame:
+    t = t.withColumn("w", T.tokens(T.comparable(F.col("text"))))
+    return t.select("conv_id", "turn", T.adjacent_repeats(F.col("w")).cast("bigint").alias("repeats"))
+
+
+#: The twins' normal form knows ASCII letters only, so the queries with a twin take ASCII turns; those named _all take all turns.
+@query(None)
+def norm_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _norm_text(_turns(spark, sf_dir))
+
+
+@query(None)
+def distinct_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distinct_candidates(_turns(spark, sf_dir))
+
+
+@query(None)
+def token_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_similarity(_turns(spark, sf_dir))
+
+
+@query(None)
+def adjacent_repeats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _adjacent_repeats(_turns(spark, sf_dir))
+
+
 @query(f"WITH {_EN} SELECT conv_id, turn, {_NORM} AS norm FROM t")
 def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ascii(spark, sf_dir).select("conv_id", "turn", T.comparable(F.col("text")).alias("norm"))
+    return _norm_text(_ascii(spark, sf_dir))
 
 
 @query(
@@ -276,7 +317,7 @@ def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM f WHERE nth = 1) SELECT conv_id, turn FROM r WHERE k <= 3"""
 )
 def distinct_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.distinct_candidates(_ascii(spark, sf_dir).withColumn("ord", F.col("turn")), ["conv_id"]).select("conv_id", "turn")
+    return _distinct_candidates(_ascii(spark, sf_dir))
 
 
 _PAIRS = f"""{_EN}, k AS (SELECT conv_id, turn, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS w FROM t),
@@ -289,10 +330,7 @@ c AS (SELECT conv_id, turn, sum(least(nx, ny)) AS shared FROM (SELECT p.conv_id,
 FROM p LEFT JOIN c USING (conv_id, turn) WHERE len(x) > 0 AND len(y) > 0"""
 )
 def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _ascii(spark, sf_dir).select("conv_id", "turn", T.tokens(T.comparable(F.col("text"))).alias("x"))
-    p = k.join(k.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"]).where((F.size("x") > 0) & (F.size("y") > 0))
-    x, y = F.col("x"), F.col("y")
-    return p.select("conv_id", "turn", rounded(T.token_similarity(x, y), 6).alias("token_similarity"), rounded(T.dice(x, y), 6).alias("dice"))
+    return _token_similarity(_ascii(spark, sf_dir))
 
 
 @query(
@@ -325,8 +363,7 @@ def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EN}, k AS (SELECT conv_id, turn, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS w FROM t) SELECT conv_id, turn, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS repeats FROM k")
 def adjacent_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _ascii(spark, sf_dir).withColumn("w", T.tokens(T.comparable(F.col("text"))))
-    return t.select("conv_id", "turn", T.adjacent_repeats(F.col("w")).cast("bigint").alias("repeats"))
+    return _adjacent_repeats(_ascii(spark, sf_dir))
 
 
 @query(

@@ -48,3 +48,12 @@ def test_wrapped_lines(run):
     got = {r["turn"]: r["wrapped"] for r in run("wrapped_lines", ["one\ntwo", LONG, None])}
     w = LONG.split()
     assert got == {0: "one two", 1: " ".join(w[:45]) + "\n" + " ".join(w[45:])}
+
+
+def test_turns_beyond_ascii(run, tmp_path, spark):
+    got = run("norm_text_all", ["\u00c9t\u00e9, \u00e9t\u00e9!", "a \u00e9t\u00e9", "\u00e9t\u00e9 \u00c9T\u00c9", None])
+    assert {r["turn"]: r["norm"] for r in got} == {0: "\u00e9t\u00e9 \u00e9t\u00e9", 1: "a \u00e9t\u00e9", 2: "\u00e9t\u00e9 \u00e9t\u00e9"}
+    rows = lambda name: catalog.QUERIES[name](spark, f"file://{tmp_path}").collect()
+    assert sorted(r["turn"] for r in rows("distinct_candidates_all")) == [0, 1]
+    assert {r["turn"]: (r["token_similarity"], r["dice"]) for r in rows("token_similarity_all")} == {0: (0.5, 0.5), 1: (0.5, 0.5)}
+    assert {r["turn"]: r["repeats"] for r in rows("adjacent_repeats_all")} == {0: 1, 1: 0, 2: 1}
