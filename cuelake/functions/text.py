@@ -198,8 +198,9 @@ def dominant_repetition(words: Column, most: int = 8) -> Column:
     Only n-grams that occur three times or more and n at most a third of the text count; null if none covers three tenths.
     """
     found = []
+    gram = lambda n: lambda i: F.array_join(F.slice(words, i, n), " ")  # noqa: E731  (a second parameter would be the index)
     for n in range(2, most + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), gram(n))
         times = F.transform(
             F.array(F.array_sort(grams)),
             lambda g: F.array_max(F.transform(F.array_distinct(g), lambda x: F.size(F.filter(g, lambda y: y == x)))),

@@ -488,7 +488,7 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def dominant_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").withColumn("w", F.slice(T.tokens(T.comparable(F.col("text"))), 1, 400))
+    t = table(spark, sf_dir, "conversations").withColumn("w", T.tokens(T.comparable(F.col("text"))))
     return t.select("conv_id", "turn", T.dominant_repetition(F.col("w")).alias("repetition"))
 
 

@@ -57,3 +57,8 @@ def test_turns_beyond_ascii(run, tmp_path, spark):
     assert sorted(r["turn"] for r in rows("distinct_candidates_all")) == [0, 1]
     assert {r["turn"]: (r["token_similarity"], r["dice"]) for r in rows("token_similarity_all")} == {0: (0.5, 0.5), 1: (0.5, 0.5)}
     assert {r["turn"]: r["repeats"] for r in rows("adjacent_repeats_all")} == {0: 1, 1: 0, 2: 1}
+
+
+def test_dominant_repetition(run):
+    got = {r["turn"]: r["repetition"] for r in run("dominant_repetition", [" ".join(f"x{k}" for k in range(410)) + " a b" * 150, LONG[:40]])}
+    assert got[0] is not None and got[0]["share"] >= 0.3 and got[1] is None
