@@ -89,9 +89,11 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def sample_by_label(df: DataFrame, label: str, rows: int, key: list[str]) -> DataFrame:
     """About ``rows`` rows of ``df``, as many of each label, chosen by a hash of ``key``; a label with fewer gives all it has.
 
-    Counts of labels are taken over all rows. The expected size is the bound; it does not grow with the table.
+    More than ``MOST_LABELS`` labels are an error; none is left out. Counts of labels are taken over all rows. The expected size is the bound; it does not grow with the table.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {label}: a sample of {rows} rows cannot tell them apart")
     if not counts:
         return df.limit(0)
     quota = max(1, rows // len(counts))

@@ -368,3 +368,10 @@ def test_toxicity_of_inserted_characters(spark, path):
     sf = path(documents=spark.createDataFrame(rows, DOCS), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     got = {r["doc_id"]: r for r in toxicity.op4_subsequence_kernel(spark, sf).collect()}
     assert all(got[1000 + k]["predicted"] for k in range(len(inserted))) and not got[2000]["predicted"]
+
+
+def test_labels_beyond_the_bound(spark):
+    rows = lambda n: spark.createDataFrame([(i, f"l{i}") for i in range(n)], "key long, lang string")
+    assert language_id.sample_by_label(rows(language_id.MOST_LABELS), "lang", 3000, ["key"]).count() == language_id.MOST_LABELS
+    with pytest.raises(ValueError, match="labels"):
+        language_id.sample_by_label(rows(language_id.MOST_LABELS + 1), "lang", 3000, ["key"])
