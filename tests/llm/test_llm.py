@@ -155,6 +155,23 @@ def test_near_duplicates(spark, words):
     assert all(got[i]["kept"] == (want[i] == i) for i in range(len(texts)))
 
 
+@pytest.mark.parametrize("settings", [dict(), dict(block=16, sketch=64), dict(block=1000, sketch=40)])
+def test_near_duplicates_of_loose_families(spark, settings):
+    rng = random.Random(12)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    texts = []
+    for size in (140, 60, 400):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        for _ in range(120):  # from nearly the same to hardly similar
+            rate = rng.choice([0.01, 0.03, 0.06, 0.09, 0.12])
+            texts.append(" ".join(w if rng.random() > rate else rng.choice(vocabulary) for w in base))
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(documents(spark, texts), settings=near_duplicates.Settings(words=2, **settings)).collect()}
+    want, _ = brute_components(texts, 2)
+    assert [got[i] for i in range(len(texts))] == want
+    assert 30 < len(set(want)) < 300
+
+
 def test_near_duplicates_without_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (4, "a b c d")], "doc_id long, text string")
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(df, settings=near_duplicates.CONTRACT).collect()]
