@@ -14,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import textvec as V
-from cuelake.llm.columns import held_out, read_table
+from cuelake.llm.columns import free_name, held_out, read_table, with_fields
 
 #: Languages of more than this number of different labels are not told apart by a sample of ``Settings.sample`` rows.
 MOST_LABELS = 512
 UNKNOWN = "und"
+#: A letter of any script.
+LETTER = "\\p{L}"
 
 _LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _FOLDED = np.where(_LETTER, V.LOWER, 32).astype(np.uint8)
@@ -57,7 +59,7 @@ def vectors(values: pa.Array, dims: int) -> Iterator[tuple[np.ndarray, np.ndarra
     """(counts of hashed 1-, 2- and 3-grams, letters) of the texts, some at a time. Runs of other characters are one blank."""
     data, offsets = V.column(values)
     mask = np.uint32(dims - 1)
-    for lo, hi in V.pieces(offsets, 1 << 19):
+    for lo, hi in V.pieces(offsets):
         at = offsets[lo : hi + 1]
         raw = data[at[0] : at[-1]]
         at = at - at[0]
@@ -149,24 +151,26 @@ def fit(df: DataFrame, text: str, lang: str, key: str, settings: Settings = Sett
     return Model(idf, all_c, langs, np.array(of, np.int64), least)
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns ``keep`` of ``df`` and lang_pred, score, distance, rejected.
+RESULT = "lang_pred string, score double, distance double, rejected boolean"
+
+
+def identified(text: Column, model: Model, spark: SparkSession) -> Column:
+    """A struct of lang_pred, score, distance and rejected; all other columns of a row stay in the JVM.
 
-    ``und``: null texts and texts without a letter, score 0, distance 1, rejected; so is every text if the model knows no
-    language. Else lang_pred is the language of the nearest centroid, the first by name of equally near ones; distance is
-    1 - cosine and score is the nearest one's part of the sum of its cosine and the next language's. Repeated rows get equal results.
+    ``und``: null texts and texts without a letter (Unicode category L), score 0, distance 1, rejected; so is every text if the
+    model knows no language. Else lang_pred is the language of the nearest centroid, the first by name of equally near ones;
+    distance is 1 - cosine and score is the nearest one's part of the sum of its cosine and the next language's. Repeated rows get
+    equal results.
     """
-    spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    fields = [df.schema[c] for c in keep]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "lang_pred string, score double, distance double, rejected boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(RESULT)
+    def nearest_language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         dims, names = len(m.idf), np.array([*m.langs, UNKNOWN], object)
-        for batch in batches:
+        for texts in batches:
             pred, score, far, out = [], [], [], []
-            for counts, letters in vectors(batch.column(len(keep)), dims):
+            for counts, letters in vectors(texts, dims):
                 if not len(m.langs):
                     best, nearest, second = np.zeros(len(counts)), np.zeros(len(counts), np.int64), np.zeros(len(counts))
                 else:
@@ -184,12 +188,17 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 far.append(np.where(none, 1, np.clip(1 - best, 0, 1)))
                 out.append(none | (best < m.least[_length_class(letters)]))
             join = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], join(pred, pa.string()), join(score, pa.float64()), join(far, pa.float64()), join(out, pa.bool_())],
-                [*keep, "lang_pred", "score", "distance", "rejected"],
-            )
+            fields = [join(pred, pa.string()), join(score, pa.float64()), join(far, pa.float64()), join(out, pa.bool_())]
+            yield pa.StructArray.from_arrays(fields, ["lang_pred", "score", "distance", "rejected"])
 
-    return df.select(*[F.col(c) for c in keep], F.lower(F.col(text)).alias("_text")).mapInArrow(run, schema)
+    # bytes beyond ASCII count as letters in vectors, so texts of such symbols only are told apart here and sent as empty ones
+    return nearest_language(F.when(text.rlike(LETTER), F.lower(text)).otherwise(""))
+
+
+def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns ``keep`` of ``df`` and the fields of ``identified``; columns of equal names are an error."""
+    found = df.select(*[F.col(c) for c in keep], identified(F.col(text), model, df.sparkSession).alias(free_name(keep)))
+    return with_fields(found, keep)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -197,7 +206,10 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every whole text of ``documents``, learnt from rows that are not held out."""
+    """Language of every whole text of ``documents``, learnt from rows that are not held out.
+
+    Ties go to the language that is first by name; other columns of the table, whatever their names, are not read.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(training_rows(docs).withColumn("text", F.lower("text")), "text", "lang", "doc_id")
     found = predict(docs.select("doc_id", "text"), model, keep=("doc_id",))

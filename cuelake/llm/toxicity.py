@@ -23,11 +23,11 @@ from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import textvec as V
-from cuelake.llm.columns import held_out, read_table
+from cuelake.llm.columns import free_name, held_out, read_table, with_fields
 from cuelake.llm.language_id import sample_by_label
 
 DECAY = 0.6
@@ -386,35 +386,43 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     return train([t.encode() for t, _ in pairs], np.array([y for _, y in pairs]), settings)
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = (), threshold: float = Settings.threshold) -> DataFrame:
-    """Columns ``keep`` of ``df`` and score (0 to 1), predicted (1 from ``threshold``), worst_word.
+RESULT = "score double, predicted int, worst_word string"
+
+
+def scored(text: Column, model: Model, spark: SparkSession, threshold: float = Settings.threshold) -> Column:
+    """A struct of score (0 to 1), predicted (1 from ``threshold``) and worst_word; all other columns of a row stay in the JVM.
 
     Texts without words, null too, get the score of a word without any known subsequence and no worst word. Of equally bad words
-    the first is named. Whole texts are scored; a text is cut at no length.
+    the first is named. Whole texts are scored; a text is cut at no length. Repeated rows get equal results.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    fields = [df.schema[c] for c in keep]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "score double, predicted int, worst_word string"
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(RESULT)
+    def toxic_score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         known = m.known()
-        for batch in batches:
-            data, offsets = V.column(batch.column(len(keep)))
-            for lo, hi in V.pieces(offsets, 1 << 20):
+        for texts in batches:
+            data, offsets = V.column(texts)
+            score, worst = [], []
+            for lo, hi in V.pieces(offsets):
                 at = offsets[lo : hi + 1]
                 scores, d, starts, bounds = word_scores(data[at[0] : at[-1]], at - at[0], m, known)
                 x = text_scores(scores, bounds, m.bias)
-                p = 1 / (1 + np.exp(-np.clip(m.slope * x + m.shift, -30, 30)))
+                score.append(1 / (1 + np.exp(-np.clip(m.slope * x + m.shift, -30, 30))))
                 ends = np.append(starts[1:], len(d))
-                worst = [a + int(scores[a:b].argmax()) if b > a else -1 for a, b in zip(bounds[:-1], bounds[1:])]
-                named = [d[starts[k] : ends[k]].tobytes().decode("utf-8", "replace") if k >= 0 else None for k in worst]
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(lo, hi - lo) for c in batch.columns[: len(keep)]), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(named, pa.string())],
-                    [*keep, "score", "predicted", "worst_word"],
-                )
+                first = [a + int(scores[a:b].argmax()) if b > a else -1 for a, b in zip(bounds[:-1], bounds[1:])]
+                worst += [d[starts[k] : ends[k]].tobytes().decode("utf-8", "replace") if k >= 0 else None for k in first]
+            p = np.concatenate(score) if score else np.zeros(0)
+            fields = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(worst, pa.string())]
+            yield pa.StructArray.from_arrays(fields, ["score", "predicted", "worst_word"])
+
+    return toxic_score(F.lower(text))
 
-    return df.select(*[F.col(c) for c in keep], F.lower(F.col(text)).alias("_text")).mapInArrow(run, schema)
+
+def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = (), threshold: float = Settings.threshold) -> DataFrame:
+    """Columns ``keep`` of ``df`` and the fields of ``scored``; columns of equal names are an error."""
+    found = df.select(*[F.col(c) for c in keep], scored(F.col(text), model, df.sparkSession, threshold).alias(free_name(keep)))
+    return with_fields(found, keep)
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -429,7 +437,10 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, settings: Settings = Settin
 
 
 def op4_subsequence_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every whole text of ``documents``, learnt from labelled rows that are not held out."""
+    """Toxicity of every whole text of ``documents``, learnt from labelled rows that are not held out.
+
+    Of rows of ``labels`` for one doc_id the toxic one counts. Other columns of the tables, whatever their names, are not read.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_labelled(docs, read_table(spark, sf_dir, "labels"))
     found = predict(docs, model, keep=("doc_id",))
