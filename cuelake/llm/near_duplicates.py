@@ -110,7 +110,9 @@ def _mark(x: np.ndarray) -> tuple[int, int, int]:
     return len(x), int(x.sum().astype(np.int64)), int(V.mix(x).sum().astype(np.int64))
 
 
-def _signed(settings: Settings):
+def _signed(settings: Settings, kept: list[str]):
+    """Columns row_id, text and ``kept`` in; the set of a text, its signature and its sketch out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = _Signer(settings)
         for whole in batches:
@@ -122,8 +124,11 @@ def _signed(settings: Settings):
                     sig.append(signer.signature(x) if len(x) else None)
                     sketch.append(signer.sketch(x) if len(x) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *(pa.array([m[k] for m in marks], pa.int64()) for k in range(3)), pa.array(sig, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                    ["row_id", "n_shingles", "one", "two", "sig", "sketch"],
+                    [
+                        batch.column(0), *batch.columns[2:], *(pa.array([m[k] for m in marks], pa.int64()) for k in range(3)),
+                        pa.array(sig, pa.list_(pa.int64())), pa.array(sketch, pa.binary()),
+                    ],
+                    ["row_id", *kept, "n_shingles", "one", "two", "sig", "sketch"],
                 )
 
     return run
@@ -302,18 +307,21 @@ def _met(cells: DataFrame, classes: DataFrame, settings: Settings, forest: bool)
     return rows.mapInArrow(_compared(settings, forest), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept, n_links) for each row of ``df``.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), mark: str | None = None) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept, n_links) for each row of ``df``, and the long ``mark`` of the row if one is named.
 
-    component_id is the smallest id reachable over links, kept whether that is the row's own id. Of repeated rows with one id all
-    are kept or none. Texts without words (null too) have no shingles and no links. Rows without an id take part in no link
+    component_id is the smallest id reachable over links, kept whether that is the row's own id. Repeated rows, of one id and
+    one text, are all kept or none; rows of one id with different texts are in components of their own. Texts without words (null
+    too) have no shingles and no links. Rows without an id take part in no link
     and have no component. Other columns of ``df`` are not read. n_links: other classes that the row's class was linked with directly
     on the way; enough to connect the component, not all that there are.
     """
     scratch = Scratch(df.sparkSession, "near-duplicates")
     texts = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
+    marked = texts if mark is None else df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"), F.col(mark).alias("row_mark"))
+    kept = marked.columns[2:]
     kind = df.schema[id_col].dataType.simpleString()
-    signed = texts.mapInArrow(_signed(settings), f"row_id {kind}, n_shingles bigint, one bigint, two bigint, sig array<bigint>, sketch binary")
+    signed = marked.mapInArrow(_signed(settings, kept), f"row_id {kind}, {'row_mark bigint, ' * len(kept)}n_shingles bigint, one bigint, two bigint, sig array<bigint>, sketch binary")
     signed = scratch.save(signed.withColumn("cls", F.xxhash64("n_shingles", "one", "two")).drop("one", "two"), "signed")
     classes = scratch.save(
         signed.where((F.col("n_shingles") > 0) & F.col("row_id").isNotNull())
@@ -359,7 +367,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch.drop("classes", "lists", "tried", "labels", "placed", "again", "links", "first-links", "second-links")
     linked = (F.col("n_shingles") > 0) & F.col("row_id").isNotNull()
     return (
-        signed.select("row_id", "n_shingles", F.when(linked, F.col("cls")).alias("cls"))
+        signed.select("row_id", *kept, "n_shingles", F.when(linked, F.col("cls")).alias("cls"))
         .join(of_class, "cls", "left")
         .select(
             F.col("row_id").alias(id_col),
@@ -367,6 +375,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.coalesce("component_id", "row_id").alias("component_id"),
             F.coalesce(F.col("row_id") == F.coalesce("component_id", "row_id"), F.lit(False)).alias("kept"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            *[F.col(c).alias(mark) for c in kept],
         )
     )
 

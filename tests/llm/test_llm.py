@@ -184,6 +184,8 @@ def test_near_duplicates_of_one_id(spark):
     rows = [(1, "something else entirely"), (1, " ".join(base)), (1, " ".join(base)), (2, " ".join(near)), (3, "z " + " ".join(base))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_duplicates.near_duplicates(df, settings=near_duplicates.CONTRACT).collect()}
+    marked = near_duplicates.near_duplicates(df.withColumn("m", F.xxhash64("text")), settings=near_duplicates.CONTRACT, mark="m")
+    assert sorted(r["m"] for r in marked.collect()) == sorted(r[0] for r in df.select(F.xxhash64("text")).collect())
     assert got == {(1, 2): 1, (1, 39): 1, (2, 39): 1, (3, 40): 1}
 
 
@@ -272,10 +274,10 @@ def test_language(spark, path):
     rng = random.Random(6)
     langs = {"aa": "lorem ipsum dolor sit amet".split(), "bb": "zwei drei vier sechs acht".split()}
     rows = [(i, prose(rng, 40, langs[k]), k, "s", 0) for i in range(150) for k in [rng.choice(sorted(langs))]]
-    rows += [(1000 + i, t, None, "s", 0) for i, t in enumerate([None, "", "123 !!", "dolor sit amet lorem"])]
+    rows += [(1000 + i, t, None, "s", 0) for i, t in enumerate([None, "", "123 !!", "dolor sit amet lorem", "🙂🙂", "5 €", "—", "½ 7"])]
     got = {r["doc_id"]: r for r in language_id.op10_nearest_centroid(spark, path(documents=spark.createDataFrame(rows, DOCS))).collect()}
     assert all(got[i]["lang_pred"] == k for i, _, k, _, _ in rows[:150])
-    assert [got[1000 + i]["lang_pred"] for i in range(4)] == ["und", "und", "und", "aa"]
+    assert [got[1000 + i]["lang_pred"] for i in range(8)] == ["und", "und", "und", "aa"] + ["und"] * 4
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for i, r in got.items())
 
 
@@ -339,6 +341,62 @@ def test_leaks(spark):
     assert got == want
 
 
+def test_leaks_are_those_of_all_pairs(spark):
+    """Every document is held against every item at all passages; retrieval has to find what is found so."""
+    rng = random.Random(14)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    item = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [item(rng.choice([8, 15, 30, 60])) for _ in range(20)]
+    texts = list(ODD)
+    for k in range(80):
+        own = items[k % 20].split()
+        rate = rng.choice([0, 0.1, 0.25, 0.5])
+        own = [w if rng.random() > rate else rng.choice(vocabulary) for w in own]
+        texts.append(" ".join([item(rng.choice([1, 50, 200])), *own[: len(own) if k % 3 else len(own) // 2], item(40)]))
+    texts += [item(120) for _ in range(40)]
+    s = decontamination.Settings()
+    words = [[int(h) for _, _, part, _ in decontamination._word_hashes(pa.array([(t or "").lower()])) for h in part] for t in texts + items]
+    docs, wanted = words[: len(texts)], words[len(texts) :]
+    half, width = decontamination.HALF, decontamination.WIDTH
+    counts, total = {}, 0
+    for w in docs:
+        for a in range(0, len(w), half):
+            total += 1
+            for x in set(w[a : a + half]):
+                counts[x] = counts.get(x, 0) + 1
+    every = {x for q in wanted for x in q}
+    idf = {x: np.log((total + 1) / (counts.get(x, 0) + 1)) for x in every}
+    floor = min(-np.log(decontamination.COMMON), 0.5 * max(idf.values()))
+    weight = {x: max(idf[x] - floor, decontamination.LEAST_WEIGHT) for x in every}
+    share = lambda q, near: decontamination.common_subsequence(decontamination._masks(tuple(q)), len(q), near) / len(q)
+    want = set()
+    for i, w in enumerate(docs):
+        for k, q in enumerate(wanted):
+            for p in range(max(1, -(-len(w) // half) - 1)):
+                near = w[max(0, p * half - len(q)) : p * half + width + len(q)]
+                rare = sum(weight[x] for x in set(q) & set(near)) / sum(weight[x] for x in set(q))
+                if rare >= s.rare and share(q, near) >= s.covered and share(q[-max(1, len(q) // 3) :], near) >= s.answer:
+                    want.add((i, k))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = documents(spark, texts).withColumns({c: F.lit("clash") for c in ("doc", "n", "terms", "item_id")})
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect()}
+    assert 30 < len(want) < 80 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_leaks_of_many_blocks(spark, monkeypatch):
+    rng = random.Random(15)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(20)) for _ in range(40)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(100)) for _ in range(30)] + [f"so {x} and {y}" for x, y in zip(items, items[1:])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = lambda: {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(documents(spark, texts), bench).collect()}
+    want = {(30 + k, k + j) for k in range(39) for j in (0, 1)}
+    assert found() == want
+    for name, value in (("BLOCK", 7), ("VOCABULARY", 250), ("TOGETHER", 200)):
+        monkeypatch.setattr(decontamination, name, value)
+    assert found() == want
+
+
 def test_leaks_of_a_single_document(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     bench = spark.createDataFrame([(1, item), (2, "quite another text that is found nowhere at all in them")], "item_id long, text string")
