@@ -4,7 +4,7 @@ A text is a vector of hashed byte n-grams of its letters, square root of the cou
 length 1. Each language has some centroids from spherical k-means; the nearest one by cosine decides. A text that is much farther
 from all centroids than any training text of about its length is rejected.
 
-Model: a matrix of fixed size, fitted on the driver on a bounded sample of labelled rows and sent to the executors.
+Model: a matrix of fixed size, fitted in one task on a bounded sample of labelled rows and sent to the executors.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import textvec as V
 from cuelake.llm.columns import free_name, held_out, read_table, with_fields
+from cuelake.llm.fitting import fitted
 
 #: Languages of more than this number of different labels are not told apart by a sample of ``Settings.sample`` rows.
 MOST_LABELS = 512
@@ -104,26 +105,11 @@ def sample_by_label(df: DataFrame, label: str, rows: int, key: list[str]) -> Dat
     return df.where(F.element_at(share, F.col(label)) > draw)
 
 
-def fit(df: DataFrame, text: str, lang: str, key: str, settings: Settings = Settings()) -> Model:
-    """Learn from the rows of ``df`` with a language. Without such rows the model knows no language."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for counts, letters in vectors(batch.column(0), settings.dims):
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.astype(np.uint16).tobytes() for x in np.minimum(counts, 65535)]), pa.array(letters), batch.column(1).slice(at, n)],
-                    ["counts", "letters", "lang"],
-                )
-                at += n
-
-    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
-    rows = sample_by_label(known, "lang", settings.sample, ["key", "text"])
-    found = rows.select("text", "lang").mapInArrow(run, "counts binary, letters bigint, lang string").toArrow()
-    letters = found["letters"].to_numpy() if len(found) else np.zeros(0, np.int64)
-    counts = np.array([np.frombuffer(x, np.uint16) for x in found["counts"].to_pylist()], np.float32).reshape(-1, settings.dims)[letters > 0]
-    label = np.array(found["lang"].to_pylist(), object)[letters > 0]
+def learn(sample: dict[str, list], settings: Settings) -> Model:
+    """The model of a sample: counts of n-grams (2 bytes each), letters and lang of each text."""
+    letters = np.array(sample["letters"], np.int64)
+    counts = np.array([np.frombuffer(x, np.uint16) for x in sample["counts"]], np.float32).reshape(-1, settings.dims)[letters > 0]
+    label = np.array(sample["lang"], object)[letters > 0]
     letters = letters[letters > 0]
     order = np.lexsort((counts @ np.random.default_rng(0).random(settings.dims).astype(np.float32), label.astype(str)))  # whatever order rows came in
     counts, label, letters = counts[order], label[order], letters[order]
@@ -151,6 +137,26 @@ def fit(df: DataFrame, text: str, lang: str, key: str, settings: Settings = Sett
     return Model(idf, all_c, langs, np.array(of, np.int64), least)
 
 
+def fit(df: DataFrame, text: str, lang: str, key: str, settings: Settings = Settings()) -> Model:
+    """Learn from the rows of ``df`` with a language. Without such rows the model knows no language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for counts, letters in vectors(batch.column(0), settings.dims):
+                n = len(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.astype(np.uint16).tobytes() for x in np.minimum(counts, 65535)]), pa.array(letters), batch.column(1).slice(at, n)],
+                    ["counts", "letters", "lang"],
+                )
+                at += n
+
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
+    rows = sample_by_label(known, "lang", settings.sample, ["key", "text"])
+    sample = rows.select("text", "lang").mapInArrow(run, "counts binary, letters bigint, lang string")
+    return fitted(sample, lambda columns: learn(columns, settings))
+
+
 RESULT = "lang_pred string, score double, distance double, rejected boolean"
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm import textvec as V
 from cuelake.llm.columns import free_name, held_out, read_table, with_fields
+from cuelake.llm.fitting import fitted
 from cuelake.llm.language_id import sample_by_label
 
 DECAY = 0.6
@@ -379,11 +380,14 @@ def _scores_of(words: list[bytes], model: Model, known: np.ndarray) -> np.ndarra
 
 
 def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learn from rows (text, label), a bounded sample, which are gathered on the driver; whole texts. Null texts teach nothing."""
+    """Learn from rows (text, label), a bounded sample, which are gathered in one task; whole texts. Null texts teach nothing."""
+
+    def learn(columns: dict[str, list]) -> Model:
+        pairs = sorted(zip(columns["text"], columns["label"]))  # whatever order rows came in
+        return train([t.encode() for t, _ in pairs], np.array([y for _, y in pairs]), settings)
+
     known = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    found = known.select(F.lower("text").alias("text"), F.when(F.col("label") > 0, 1).otherwise(0).alias("label")).toArrow().to_pydict()
-    pairs = sorted(zip(found["text"], found["label"]))  # whatever order rows came in
-    return train([t.encode() for t, _ in pairs], np.array([y for _, y in pairs]), settings)
+    return fitted(known.select(F.lower("text").alias("text"), F.when(F.col("label") > 0, 1).otherwise(0).alias("label")), learn)
 
 
 RESULT = "score double, predicted int, worst_word string"
