@@ -147,18 +147,28 @@ def split_at(cues: DataFrame, at: Column) -> DataFrame:
     return cues.withColumn("_part", F.explode(F.when(can_split(at), both).otherwise(whole))).select(*kept, "_part.*")
 
 
-def merge_with_next(cues: DataFrame, first_ord: Column) -> DataFrame:
-    """The cue with this ``ord`` and the one after it as one: least start, greatest end, texts on two lines."""
-    nth = renumber(cues)
-    mark = nth.where(F.col("ord") == first_ord).select(MEDIA, F.col("index").alias("_first"))
-    tagged = nth.join(mark, MEDIA, "left")
-    joined = F.when((F.col("index") == F.col("_first")) | (F.col("index") == F.col("_first") + 1), F.col("_first")).otherwise(F.col("index"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"])
-    return (
-        tagged.groupBy(MEDIA, joined.alias("_group"))
-        .agg(F.min("ord").alias("ord"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), normalise_lines(F.array_join(texts, "\n")).alias("text"))
-        .drop("_group")
-    )
+def _is(media_id: str, ord_: int) -> Column:
+    """Is this the cue with this key? ``ord`` alone is one of every media."""
+    return (F.col(MEDIA) == F.lit(media_id)) & (F.col("ord") == F.lit(ord_))
+
+
+def merge_with_next(cues: DataFrame, media_id: str, ord_: int) -> DataFrame:
+    """This cue of this media and the one after it as one: least start, greatest end, texts on two lines, words of both in a row.
+
+    Other columns are those of the first. The last cue of a media, and all cues of others, stay as they are.
+    """
+    after = Window.partitionBy(MEDIA).orderBy("index")
+    nth = renumber(cues).withColumn("_first", F.coalesce(_is(media_id, ord_), F.lit(False)))
+    nth = nth.withColumns({"_gone": F.coalesce(F.lag("_first").over(after), F.lit(False))})
+    both = {
+        "start_time": F.least("start_time", F.lead("start_time").over(after)),
+        "end_time": F.greatest("end_time", F.lead("end_time").over(after)),
+        "text": normalise_lines(F.concat_ws("\n", "text", F.lead("text").over(after))),
+    }
+    if "words" in cues.columns:
+        both["words"] = F.coalesce(F.concat("words", F.lead("words").over(after)), "words", F.lead("words").over(after))
+    nth = nth.withColumns({c: F.when(F.col("_first"), v).otherwise(F.col(c)) for c, v in both.items()})
+    return renumber(nth.where(~F.col("_gone")).drop("_first", "_gone"))
 
 
 def clip(cues: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -173,18 +183,18 @@ def replace_range(cues: DataFrame, replacement: DataFrame, start: float, end: fl
     return renumber(kept.unionByName(clip(replacement, F.lit(start), F.lit(end)), allowMissingColumns=True))
 
 
-def update(cues: DataFrame, ord_: int, **patch: Column) -> DataFrame:
-    return renumber(cues.withColumns({k: F.when(F.col("ord") == ord_, v).otherwise(F.col(k)) for k, v in patch.items()}))
+def update(cues: DataFrame, media_id: str, ord_: int, **patch: Column) -> DataFrame:
+    return renumber(cues.withColumns({k: F.when(_is(media_id, ord_), v).otherwise(F.col(k)) for k, v in patch.items()}))
 
 
-def delete(cues: DataFrame, ord_: int) -> DataFrame:
-    return renumber(cues.where(F.col("ord") != ord_))
+def delete(cues: DataFrame, media_id: str, ord_: int) -> DataFrame:
+    return renumber(cues.where(~F.coalesce(_is(media_id, ord_), F.lit(False))))
 
 
-def duplicate(cues: DataFrame, ord_: int) -> DataFrame:
+def duplicate(cues: DataFrame, media_id: str, ord_: int) -> DataFrame:
     """A copy of the cue a tenth of a second after it, as long as it is."""
     length = F.greatest(F.lit(LEAST_LENGTH), F.col("end_time") - F.col("start_time"))
-    copy = cues.where(F.col("ord") == ord_).withColumn("_length", length).withColumn("start_time", rounded(F.col("end_time") + LEAST_LENGTH))
+    copy = cues.where(_is(media_id, ord_)).withColumn("_length", length).withColumn("start_time", rounded(F.col("end_time") + LEAST_LENGTH))
     copy = copy.withColumn("end_time", rounded(F.col("start_time") + F.col("_length"))).drop("_length")
     return renumber(cues.unionByName(copy))
 

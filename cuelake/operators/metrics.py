@@ -7,7 +7,9 @@ else is expressions and joins.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,47 +93,56 @@ def speech_coverage(reference: DataFrame, candidate: DataFrame, by: str = "media
     )
 
 
-def repeated_phrases(tokens: list[str], least: int = 2, most: int = 5) -> tuple[int, int]:
-    """(times, tokens): phrases said again at once, the longest first at each place, none counted twice."""
-    times = said = 0
-    i = least
-    while i < len(tokens):
-        for size in range(min(most, i, len(tokens) - i), least - 1, -1):
-            if tokens[i - size : i] == tokens[i : i + size]:
-                times, said, i = times + 1, said + size, i + size
-                break
-        else:
-            i += 1
-    return times, said
+def repeated_phrases(tokens: Column, least: int = 2, most: int = 5) -> Column:
+    """Struct (times, said) of a token array: phrases of ``least`` to ``most`` tokens that are said again at once, and their tokens.
+
+    At a place the longest such phrase counts, and the places of its repetition are passed over. Null for null.
+    """
+    said = lambda at, size: F.slice(tokens, at, F.lit(size))
+    again = lambda at, size: (at > size) & (at + size - 1 <= F.size(tokens)) & (said(F.greatest(at - size, F.lit(1)), size) == said(at, size))
+    places = F.when(F.size(tokens) > least, F.sequence(F.lit(least + 1), F.size(tokens))).otherwise(F.array().cast("array<int>"))
+    longest = F.transform(places, lambda at: F.struct(at.alias("at"), F.coalesce(*[F.when(again(at, n), n) for n in range(most, least - 1, -1)], F.lit(0)).alias("size")))
+    heard = F.filter(longest, lambda x: x["size"] > 0)
+    state = lambda free, times, total: F.struct(free.cast("int").alias("free"), times.cast("int").alias("times"), total.cast("int").alias("said"))
+    taken = lambda now, x: F.when(x["at"] < now["free"], now).otherwise(state(x["at"] + x["size"], now["times"] + 1, now["said"] + x["size"]))
+    out = F.aggregate(heard, state(F.lit(0), F.lit(0), F.lit(0)), taken, lambda x: F.struct(x["times"].alias("times"), x["said"].alias("said")))
+    return F.when(tokens.isNotNull(), out)
+
+
+def _distances(row: np.ndarray, part: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of the table of edit distances after ``row``, one for each code in ``part``."""
+    places = np.arange(len(b) + 1)
+    for x in part:
+        pair_or_drop = np.minimum(row[:-1] + (b != x), row[1:] + 1)
+        row = np.minimum.accumulate(np.append(row[0] + 1, pair_or_drop) - places) + places
+        yield row
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[str, int | None, int | None]]:
     """Least-cost alignment of token lists: (equal, substitute, delete or insert; place in a; place in b).
 
-    Ties are resolved from the end: a pair first, then a deletion, then an insertion. Columns of the table are bit-packed choices, so
-    memory is a byte a cell.
+    Ties are resolved from the end: a pair first, then a deletion, then an insertion. One row in about the root of all is kept; those
+    between are computed again on the way back, so memory is that of the root of len(a) rows.
     """
-    n, m = len(a), len(b)
-    previous = list(range(m + 1))
-    choices = [bytearray(m + 1) for _ in range(n + 1)]
-    for j in range(1, m + 1):
-        choices[0][j] = 2
-    for i in range(1, n + 1):
-        row, choice = [i] + [0] * m, choices[i]
-        choice[0] = 1
-        for j in range(1, m + 1):
-            pair, drop, add = previous[j - 1] + (a[i - 1] != b[j - 1]), previous[j] + 1, row[j - 1] + 1
-            best = min(pair, drop, add)
-            row[j] = best
-            choice[j] = 0 if pair == best else 1 if drop == best else 2
-        previous = row
-    out, i, j = [], n, m
+    code = {t: k for k, t in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([code[t] for t in side], np.int64) for side in (a, b))
+    step = max(1, int(len(a) ** 0.5))
+    kept = [np.arange(len(b) + 1)]
+    for k, row in enumerate(_distances(kept[0], x, y), 1):
+        if k % step == 0:
+            kept.append(row)
+    out: list[tuple[str, int | None, int | None]] = []
+    i, j = len(a), len(b)
+    low, rows = len(a) + 1, []
     while i or j:
-        c = choices[i][j]
-        if i and j and c == 0:
+        if i and i <= low:
+            low = (i - 1) // step * step
+            rows = [kept[low // step], *_distances(kept[low // step], x[low:i], y)]
+        here = rows[i - low][j] if i else j
+        if i and j and here == rows[i - 1 - low][j - 1] + (x[i - 1] != y[j - 1]):
             i, j = i - 1, j - 1
-            out.append(("equal" if a[i] == b[j] else "substitute", i, j))
-        elif i and c == 1:
+            out.append(("equal" if x[i] == y[j] else "substitute", i, j))
+        elif i and here == rows[i - 1 - low][j] + 1:
             i -= 1
             out.append(("delete", i, None))
         else:

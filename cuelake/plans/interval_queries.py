@@ -63,6 +63,56 @@ def cue_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.shift(cue_view(spark, sf_dir), -3600_000).select("media_id", "ord", "start_time", "end_time")
 
 
+#: The least cue of the least media, which the edits below are made to.
+_FIRST = "one AS (SELECT media_id AS m, ord AS o FROM cue ORDER BY media_id, ord LIMIT 1), tagged AS (SELECT cue.*, media_id = m AND ord = o AS is_it FROM cue, one)"
+_EDITED = lambda body: f"WITH {CUE}, {_FIRST}, edited AS ({body}) SELECT media_id, ord, start_time, end_time, text, row_number() OVER (PARTITION BY media_id ORDER BY start_time, end_time, ord) AS index FROM edited"
+
+
+def _edit(spark: SparkSession, sf_dir: str, change: Callable[[DataFrame, str, int], DataFrame]) -> DataFrame:
+    cues = cue_view(spark, sf_dir)
+    key = cues.agg(F.min(F.struct("media_id", "ord")).alias("key")).select("key.*").first()
+    out = change(cues, key["media_id"], key["ord"]) if key["ord"] is not None else C.renumber(cues)
+    return out.select("media_id", "ord", "start_time", "end_time", "text", F.col("index").cast("bigint").alias("index"))
+
+
+@query(_EDITED("SELECT media_id, ord, start_time, end_time, text FROM tagged WHERE NOT is_it"))
+def cue_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edit(spark, sf_dir, C.delete)
+
+
+@query(_EDITED("SELECT media_id, ord, start_time, CASE WHEN is_it THEN start_time + 1.0::DOUBLE ELSE end_time END AS end_time, CASE WHEN is_it THEN 'edited' ELSE text END AS text FROM tagged"))
+def cue_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edit(spark, sf_dir, lambda cues, m, o: C.update(cues, m, o, text=F.lit("edited"), end_time=F.col("start_time") + 1.0))
+
+
+@query(
+    _EDITED(
+        f"""SELECT media_id, ord, start_time, end_time, text FROM tagged WHERE NOT is_it UNION ALL SELECT media_id, ord, start_time, end_time, text FROM tagged WHERE is_it
+UNION ALL SELECT media_id, ord, a, {R3("a + greatest(0.1::DOUBLE, end_time - start_time)")}, text FROM (SELECT *, {R3("end_time + 0.1::DOUBLE")} AS a FROM tagged WHERE is_it)"""
+    )
+)
+def cue_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edit(spark, sf_dir, C.duplicate)
+
+
+@query(
+    _EDITED(
+        """SELECT media_id, ord, CASE WHEN is_it THEN least(start_time, coalesce(s, start_time)) ELSE start_time END AS start_time, CASE WHEN is_it THEN greatest(end_time, coalesce(e, end_time)) ELSE end_time END AS end_time,
+CASE WHEN is_it THEN concat_ws(chr(10), text, t) ELSE text END AS text FROM (SELECT *, lead(start_time) OVER w AS s, lead(end_time) OVER w AS e, lead(text) OVER w AS t, coalesce(lag(is_it) OVER w, false) AS gone
+FROM tagged WINDOW w AS (PARTITION BY media_id ORDER BY start_time, end_time, ord)) WHERE NOT gone"""
+    )
+)
+def cue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edit(spark, sf_dir, C.merge_with_next)
+
+
+@query(None)
+def phrase_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of 2 to 5 words that whole turns say again at once, and their words."""
+    found = _turns(spark, sf_dir).select("conv_id", "turn", M.repeated_phrases(T.tokens(T.comparable(F.col("text")))).alias("x"))
+    return found.select("conv_id", "turn", "x.*")
+
+
 _VALIDATE = f"""{CUE}, w AS (SELECT *, lag(end_time) OVER o AS before, lead(start_time) OVER o AS after FROM cue WINDOW o AS (PARTITION BY media_id ORDER BY start_time, ord)),
 issues AS (
 SELECT media_id, ord, 'error' AS level, 'negative-time' AS code FROM w WHERE start_time < 0 OR end_time < 0
@@ -254,12 +304,8 @@ def rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.runs(e, "media_id", "ord", "loud")
 
 
-_EN = "t AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL AND regexp_matches(text, '^[\\x00-\\x7F]*$'))"
-_NORM = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-
-
-def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(F.col("text").rlike("^[\\x00-\\x7F]*$")).select("conv_id", "turn", "text")
+_TURNS = "t AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)"
+_NORM = "trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,41 +332,20 @@ def _adjacent_repeats(t: DataFrame) -> DataFrame:
     return t.select("conv_id", "turn", T.adjacent_repeats(F.col("w")).cast("bigint").alias("repeats"))
 
 
-#: The twins' normal form knows ASCII letters only, so the queries with a twin take ASCII turns; those named _all take all turns.
-@query(None)
-def norm_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _norm_text(_turns(spark, sf_dir))
-
-
-@query(None)
-def distinct_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distinct_candidates(_turns(spark, sf_dir))
-
-
-@query(None)
-def token_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _token_similarity(_turns(spark, sf_dir))
-
-
-@query(None)
-def adjacent_repeats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _adjacent_repeats(_turns(spark, sf_dir))
-
-
-@query(f"WITH {_EN} SELECT conv_id, turn, {_NORM} AS norm FROM t")
+@query(f"WITH {_TURNS} SELECT conv_id, turn, {_NORM} AS norm FROM t")
 def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _norm_text(_ascii(spark, sf_dir))
+    return _norm_text(_turns(spark, sf_dir))
 
 
 @query(
-    f"""WITH {_EN}, n AS (SELECT conv_id, turn, {_NORM} AS norm FROM t), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, norm ORDER BY turn) AS nth FROM n WHERE norm <> ''),
+    f"""WITH {_TURNS}, n AS (SELECT conv_id, turn, {_NORM} AS norm FROM t), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, norm ORDER BY turn) AS nth FROM n WHERE norm <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM f WHERE nth = 1) SELECT conv_id, turn FROM r WHERE k <= 3"""
 )
 def distinct_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distinct_candidates(_ascii(spark, sf_dir))
+    return _distinct_candidates(_turns(spark, sf_dir))
 
 
-_PAIRS = f"""{_EN}, k AS (SELECT conv_id, turn, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS w FROM t),
+_PAIRS = f"""{_TURNS}, k AS (SELECT conv_id, turn, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS w FROM t),
 p AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 c AS (SELECT conv_id, turn, sum(least(nx, ny)) AS shared FROM (SELECT p.conv_id, p.turn, u.token, len(list_filter(x, lambda z: z = u.token)) AS nx, len(list_filter(y, lambda z: z = u.token)) AS ny FROM p, unnest(list_distinct(x)) AS u(token)) GROUP BY 1, 2)"""
 
@@ -330,23 +355,12 @@ c AS (SELECT conv_id, turn, sum(least(nx, ny)) AS shared FROM (SELECT p.conv_id,
 FROM p LEFT JOIN c USING (conv_id, turn) WHERE len(x) > 0 AND len(y) > 0"""
 )
 def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _token_similarity(_ascii(spark, sf_dir))
-
-
-@query(
-    f"""WITH {_EN}, p AS (SELECT a.conv_id, a.turn, left(a.text, 120) AS x, left(b.text, 120) AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, levenshtein(x, y) AS distance, {R6("levenshtein(x, y)::DOUBLE / length(x)")} AS cer FROM p WHERE length(x) > 0"""
-)
-def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _ascii(spark, sf_dir).select("conv_id", "turn", F.left("text", F.lit(120)).alias("x"))
-    p = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"]).where(F.length("x") > 0)
-    d = F.levenshtein("x", "y")
-    return p.select("conv_id", "turn", d.cast("bigint").alias("distance"), M.error_rate(d, F.length("x")).alias("cer"))
+    return _token_similarity(_turns(spark, sf_dir))
 
 
 @query(None)
-def char_error_rate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``char_error_rate`` of whole texts of any script; its twin has the first 120 characters of ASCII turns."""
+def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance of neighbouring turns, whole texts of any script. SQL takes it of bytes, so there is no twin."""
     t = _turns(spark, sf_dir).withColumnRenamed("text", "x")
     p = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"]).where(F.length("x") > 0)
     d = F.levenshtein("x", "y")
@@ -361,9 +375,9 @@ def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.word_errors(p.withColumn("case_id", F.concat_ws("-", "conv_id", "turn")), "case_id", "x", "y")
 
 
-@query(f"WITH {_EN}, k AS (SELECT conv_id, turn, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS w FROM t) SELECT conv_id, turn, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS repeats FROM k")
+@query(f"WITH {_TURNS}, k AS (SELECT conv_id, turn, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS w FROM t) SELECT conv_id, turn, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS repeats FROM k")
 def adjacent_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _adjacent_repeats(_ascii(spark, sf_dir))
+    return _adjacent_repeats(_turns(spark, sf_dir))
 
 
 @query(

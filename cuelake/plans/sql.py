@@ -32,7 +32,12 @@ def register(spark: SparkSession, sf_dir: str | None = None) -> None:
     """Functions nfkc, wrap_lines, phrase_repeats and the table functions above; with a folder, the view ``cue``."""
     spark.udf.register("nfkc", nfkc)
     spark.udf.register("wrap_lines", lambda t, n: None if t is None else formatting.lines(" ".join(t.split()), n), T.StringType())
-    spark.udf.register("phrase_repeats", lambda t: metrics.repeated_phrases(t or [])[1], T.IntegerType())
+    sizes = " ".join(f"WHEN at > {n} AND at + {n - 1} <= size(t) AND slice(t, greatest(at - {n}, 1), {n}) = slice(t, at, {n}) THEN {n}" for n in (5, 4, 3, 2))
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION phrase_repeats(t ARRAY<STRING>) RETURNS INT RETURN aggregate(
+        filter(transform(sequence(3, greatest(size(t), 3)), at -> struct(at, CASE {sizes} ELSE 0 END AS size)), x -> x.size > 0),
+        struct(0 AS free, 0 AS said), (now, x) -> CASE WHEN x.at < now.free THEN now ELSE struct(x.at + x.size AS free, now.said + x.size AS said) END, now -> now.said)"""
+    )
     spark.udtf.register("align_tokens", AlignTokens)
     spark.udtf.register("split_readable", SplitReadable)
     if sf_dir:

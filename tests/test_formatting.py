@@ -6,26 +6,26 @@ def seg(s, e, t, **more):
 
 
 def test_pause_is_kept_and_fragment_joined():
-    out = F.formatted([seg(0, 0.25, "Actually,"), seg(0.8, 2, "this begins a separate spoken clause.")])
+    out = F.formatted([seg(0, 0.25, "Tonight,"), seg(0.8, 2, "the harbour pilots all stay ashore.")])
     assert len(out) == 2 and out[1]["start_time"] - out[0]["end_time"] >= 0.349
-    out = F.formatted([seg(0, 0.25, "Actually,"), seg(0.4, 2, "it continues.")])
-    assert [r["text"] for r in out] == ["Actually, it continues."]
+    out = F.formatted([seg(0, 0.25, "Tonight,"), seg(0.4, 2, "it rains.")])
+    assert [r["text"] for r in out] == ["Tonight, it rains."]
 
 
 def test_word_times():
-    words = [{"text": t, "start_time": s, "end_time": e} for t, s, e in (("Hello", 1, 1.35), ("world", 1.42, 1.85), ("again", 2.05, 2.4))]
-    (r,) = F.formatted([seg(0, 8, "Hello world again", words=words)])
+    words = [{"text": t, "start_time": s, "end_time": e} for t, s, e in (("Rain", 1, 1.35), ("falls", 1.42, 1.85), ("today", 2.05, 2.4))]
+    (r,) = F.formatted([seg(0, 8, "Rain falls today", words=words)])
     assert abs(r["start_time"] - 0.92) < 0.01 and abs(r["end_time"] - 2.58) < 0.01
 
 
 def test_low_confidence():
-    (r,) = F.formatted([seg(1, 1.4, "Maybe", confidence=0.35)])
-    assert (r["start_time"], r["end_time"], r["text"]) == (1, 1.4, "Maybe")
+    (r,) = F.formatted([seg(1, 1.4, "Perhaps", confidence=0.35)])
+    assert (r["start_time"], r["end_time"], r["text"]) == (1, 1.4, "Perhaps")
     assert F.formatted([seg(1, 1.4, "far too many words for so short a time", confidence=0.35)]) == []
 
 
 def test_repeats():
-    assert len(F.formatted([seg(0, 2.5, "the very same words"), seg(2, 4, "the very same words")])) == 1
+    assert len(F.formatted([seg(0, 2.5, "snow on every roof"), seg(2, 4, "snow on every roof")])) == 1
 
 
 def test_no_word_is_lost():
@@ -39,5 +39,5 @@ def test_no_word_is_lost():
 
 
 def test_in_spark(spark):
-    df = spark.createDataFrame([("m", 0, 0.0, 0.25, "Actually,"), ("m", 1, 0.4, 2.0, "it continues.")], "media_id string, ord long, start_time double, end_time double, text string")
-    assert [r["text"] for r in F.format_captions(df).collect()] == ["Actually, it continues."]
+    df = spark.createDataFrame([("m", 0, 0.0, 0.25, "Tonight,"), ("m", 1, 0.4, 2.0, "it rains.")], "media_id string, ord long, start_time double, end_time double, text string")
+    assert [r["text"] for r in F.format_captions(df).collect()] == ["Tonight, it rains."]

@@ -1,5 +1,7 @@
 """Golden cases and invariants of the cue operators."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,9 +38,10 @@ def test_timestamps(spark):
 
 def test_text(spark):
     assert column(spark, ["a  b \r\n\r\n c  "], "string", T.normalise_lines) == ["a b\nc"]
-    wrapped = column(spark, ["We are aiming to get a better television service", "short"], "string", lambda x: T.wrap(x, 42))
-    assert wrapped[0].split("\n")[1] == "a better television service" and wrapped[1] == "short"
-    assert column(spark, [["Hello", ",", "world", "'s", "(", "x", ")"]], "array<string>", T.glue) == ["Hello, world's (x)"]
+    wrapped = column(spark, ["The ferry to the northern islands leaves at a quarter past nine", "brief"], "string", lambda x: T.wrap(x, 42))
+    assert " ".join(wrapped[0].split("\n")) == "The ferry to the northern islands leaves at a quarter past nine" and wrapped[1] == "brief"
+    assert max(map(len, wrapped[0].split("\n"))) <= 42
+    assert column(spark, [["Rain", ",", "Ana", "'s", "(", "roof", ")"]], "array<string>", T.glue) == ["Rain, Ana's (roof)"]
     assert column(spark, ["a🙂"], "string", T.utf16_length) == [3]
     df = spark.createDataFrame([(["a", "b", "b"], ["b", "b", "c", "d"]), ([], [])], "a array<string>, b array<string>")
     got = df.select(T.token_similarity(F.col("a"), F.col("b")), T.dice(F.col("a"), F.col("b")), T.token_distance(F.col("a"), F.col("b"))).collect()
@@ -46,12 +49,12 @@ def test_text(spark):
 
 
 def test_writers(spark):
-    one = table(spark, [(1.2, 3.85, "This is an example subtitle.")])
-    assert cues.to_srt(one).first()["content"] == "1\n00:00:01,200 --> 00:00:03,850\nThis is an example subtitle.\n"
+    one = table(spark, [(1.2, 3.85, "A lamp burned in the harbour.")])
+    assert cues.to_srt(one).first()["content"] == "1\n00:00:01,200 --> 00:00:03,850\nA lamp burned in the harbour.\n"
     assert cues.to_vtt(one).first()["content"].startswith("WEBVTT\n\n00:00:01.200 --> 00:00:03.850")
-    two = table(spark, [(1.2, 2.4, "First\nline"), (3.0, 4.0, "Second line")])
-    assert cues.to_transcript(two).first()["content"] == "First line\nSecond line"
-    assert cues.to_transcript(two, True).first()["content"] == "[00:00:01.200] First line\n[00:00:03.000] Second line"
+    two = table(spark, [(1.2, 2.4, "Open\nwater"), (3.0, 4.0, "Low tide")])
+    assert cues.to_transcript(two).first()["content"] == "Open water\nLow tide"
+    assert cues.to_transcript(two, True).first()["content"] == "[00:00:01.200] Open water\n[00:00:03.000] Low tide"
 
 
 def test_readers(spark):
@@ -100,6 +103,23 @@ def test_validate_and_export(spark):
     assert cues.with_issues(df).count() == 4
 
 
+def test_edits_are_of_one_media(spark):
+    schema = CUE + ", speaker string, words array<struct<text:string,start_time:double,end_time:double>>"
+    rows = [(m, k, float(k), k + 0.5, f"t{k}", m.upper(), [(f"t{k}", float(k), k + 0.5)]) for m in ("m", "n") for k in range(3)]
+    df = spark.createDataFrame(rows, schema)
+    of = lambda out, m: [(r["ord"], r["text"], r["end_time"], r["speaker"], len(r["words"]), r["index"]) for r in out.where(F.col("media_id") == m).orderBy("index").collect()]
+    whole = lambda m: [(k, f"t{k}", k + 0.5, m.upper(), 1, k + 1) for k in range(3)]
+    merged = cues.merge_with_next(df, "m", 1)
+    assert of(merged, "m") == [(0, "t0", 0.5, "M", 1, 1), (1, "t1\nt2", 2.5, "M", 2, 2)] and of(merged, "n") == whole("n")
+    assert of(cues.merge_with_next(df, "m", 2), "m") == whole("m")
+    for out, own in (
+        (cues.delete(df, "m", 1), [(0, "t0", 0.5, "M", 1, 1), (2, "t2", 2.5, "M", 1, 2)]),
+        (cues.update(df, "m", 2, text=F.lit("new")), [*whole("m")[:2], (2, "new", 2.5, "M", 1, 3)]),
+        (cues.duplicate(df, "m", 2), [*whole("m"), (2, "t2", 3.1, "M", 1, 4)]),
+    ):
+        assert of(out, "m") == own and of(out, "n") == whole("n")
+
+
 def test_shift(spark):
     assert times(cues.shift(table(spark, [(0.1, 1.1, "a")]), -500, F.lit(10.0))) == [(0.0, 0.6)]
     schema = CUE + ", confidence double, words array<struct<text:string,start_time:double,end_time:double>>"
@@ -113,10 +133,10 @@ def test_edits(spark):
     at = spark.createDataFrame([(10.0, 12.0, t) for t in (10.1, 11.9, 10.099, 11.901, float("nan"))], "start_time double, end_time double, t double")
     assert [r[0] for r in at.select(cues.can_split(F.col("t"))).collect()] == [True, True, False, False, False]
     assert times(cues.split_at(df, F.lit(1.0)), "text") == [(0.0, 1.0, "one two"), (1.0, 2.0, "three four"), (3.0, 4.0, "five")]
-    assert times(cues.merge_with_next(df, F.lit(0)), "text") == [(0.0, 4.0, "one two three four\nfive")]
-    assert times(cues.duplicate(df, 1)) == [(0.0, 2.0), (3.0, 4.0), (4.1, 5.1)]
+    assert times(cues.merge_with_next(df, "m", 0), "text") == [(0.0, 4.0, "one two three four\nfive")]
+    assert times(cues.duplicate(df, "m", 1)) == [(0.0, 2.0), (3.0, 4.0), (4.1, 5.1)]
     assert times(cues.replace_range(df, table(spark, [(2.5, 9.0, "new")]), 2.5, 5.0), "text") == [(0.0, 2.0, "one two three four"), (2.5, 5.0, "new")]
-    assert [r["change"] for r in cues.changed_rows(df, cues.delete(df, 1), ["text"]).collect()] == ["delete"]
+    assert [r["change"] for r in cues.changed_rows(df, cues.delete(df, "m", 1), ["text"]).collect()] == ["delete"]
 
 
 def test_intervals(spark):
@@ -202,24 +222,69 @@ def test_folds(spark):
 
 def test_reconcile():
     seg = lambda s, e, t: {"start_time": s, "end_time": e, "text": t}
-    out = folds.reconciled([seg(23, 26.2, "We need accurate subtitle timing")], [seg(25.4, 27, "We need accurate subtitle timing.")], 26)
-    assert [r["text"] for r in out] == ["We need accurate subtitle timing."]
-    out = folds.reconciled([seg(23, 26, "We need better subtitle timing")], [seg(25.5, 26.2, "subtitle timing without missing words")], 26)
-    assert [r["text"] for r in out] == ["We need better subtitle timing", "without missing words"] and out[1]["start_time"] >= out[0]["end_time"]
+    out = folds.reconciled([seg(23, 26.2, "The ferry leaves at nine")], [seg(25.4, 27, "The ferry leaves at nine.")], 26)
+    assert [r["text"] for r in out] == ["The ferry leaves at nine."]
+    out = folds.reconciled([seg(23, 26, "The old ferry leaves tonight")], [seg(25.5, 26.2, "leaves tonight with all crew")], 26)
+    assert [r["text"] for r in out] == ["The old ferry leaves tonight", "with all crew"] and out[1]["start_time"] >= out[0]["end_time"]
     out = folds.reconciled([seg(0, 1, "far away")], [seg(20, 21, "far away")], 20)
     assert len(out) == 2
 
 
 def test_alignment(spark):
-    ops = metrics.align("alpha beta gamma".split(), "alpha beta delta gamma".split())
+    ops = metrics.align("oak elm ash".split(), "oak elm fir ash".split())
     assert [o for o, _, _ in ops] == ["equal", "equal", "insert", "equal"]
-    df = spark.createDataFrame([("a", "alpha beta gamma".split(), "alpha beta delta gamma".split()), ("b", [], ["x"])], "case_id string, r array<string>, c array<string>")
+    df = spark.createDataFrame([("a", "oak elm ash".split(), "oak elm fir ash".split()), ("b", [], ["x"])], "case_id string, r array<string>, c array<string>")
     got = metrics.word_errors(df, "case_id", "r", "c").orderBy("case_id").collect()
     assert (got[0]["insertions"], got[0]["wer"], got[1]["wer"]) == (1, 0.333333, None)
-    assert metrics.repeated_phrases("alpha beta alpha beta gamma".split()) == (1, 2)
     assert metrics.matched_cues([{"tokens": ["a", "b"]}, {"tokens": ["c"]}], [{"tokens": ["a", "b", "x"]}, {"tokens": ["c"]}]) == [(0, 0), (1, 1)]
 
 
+def test_alignment_costs_least():
+    rng = random.Random(1)
+    for _ in range(150):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 25))] for _ in range(2))
+        table = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i][j] = min(table[i - 1][j - 1] + (a[i - 1] != b[j - 1]), table[i - 1][j] + 1, table[i][j - 1] + 1)
+        want, i, j = [], len(a), len(b)
+        while i or j:  # a pair first, then a deletion, then an insertion
+            if i and j and table[i][j] == table[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                want.append(("equal" if a[i] == b[j] else "substitute", i, j))
+            elif i and table[i][j] == table[i - 1][j] + 1:
+                i -= 1
+                want.append(("delete", i, None))
+            else:
+                j -= 1
+                want.append(("insert", None, j))
+        assert metrics.align(a, b) == want[::-1]
+
+
+def test_alignment_of_long_texts():
+    rng = random.Random(2)
+    a = [str(rng.randrange(500)) for _ in range(6000)]
+    b = [x for x in a if rng.random() > 0.01]
+    ops = metrics.align(a, b)
+    assert sum(o == "delete" for o, _, _ in ops) == len(a) - len(b) and sum(o != "equal" for o, _, _ in ops) == len(a) - len(b)
+
+
+def test_repeated_phrases(spark):
+    rng = random.Random(3)
+    cases = [[], ["a"], ["a", "b", "a", "b", "c"], None, ["a"] * 13] + [[rng.choice("ab") for _ in range(rng.randrange(30))] for _ in range(80)]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k long, t array<string>")
+    got = {r["k"]: r["x"] for r in df.select("k", metrics.repeated_phrases(F.col("t")).alias("x")).collect()}
+    for k, c in enumerate(cases):
+        text, times, said = "".join(c or []), 0, 0
+        while c and len(text) > 2:  # what is left to hear, with up to 5 tokens before it
+            heard = "".join(c)[: len(c) - len(text)]
+            sizes = [n for n in (5, 4, 3, 2) if len(heard) >= n and text.startswith(heard[-n:])]
+            times, said, text = (times + 1, said + sizes[0], text[sizes[0] :]) if sizes else (times, said, text[1:])
+        if c and len(text) == 2 and "".join(c)[:-2].endswith(text):
+            times, said = times + 1, said + 2
+        assert (got[k] and (got[k]["times"], got[k]["said"])) == (None if c is None else (times, said)), c
+
+
 def test_quality(spark):
     df = table(spark, [(0.0, 1.0, "x" * 30), (2.0, 12.0, "y" * 43)])
     row = metrics.quality(df, most=6.0).first()

@@ -32,12 +32,12 @@ def test_deltas(spark, tmp_path):
 def test_reconciled(spark, tmp_path):
     seg = lambda s, e, t: {"start_time": s, "end_time": e, "text": t}
     schema = "media_id string, win_id long, core_start double, segments string, at timestamp"
-    one = ("m", 0, 0.0, json.dumps([seg(0, 2, "first one"), seg(3, 5, "second one"), seg(6, 8, "third"), seg(23, 26, "We need better subtitle timing")]), START)
-    two = ("m", 1, 26.0, json.dumps([seg(25.5, 26.2, "subtitle timing without missing words"), seg(30, 31, "end")]), START)
+    one = ("m", 0, 0.0, json.dumps([seg(0, 2, "first one"), seg(3, 5, "second one"), seg(6, 8, "third"), seg(23, 26, "The old ferry leaves tonight")]), START)
+    two = ("m", 1, 26.0, json.dumps([seg(25.5, 26.2, "leaves tonight with all crew"), seg(30, 31, "end")]), START)
     end = ("other", 0, 0.0, "[]", START + timedelta(hours=2))
     got = run(spark, tmp_path, [[two], [one], [end], [end]], schema, lambda s: partials.reconciled_stream(s, "at"), "reconciled")
     texts = [r["text"] for r in sorted(got, key=lambda r: r["start_time"])]
-    assert texts == ["first one", "second one", "third", "We need better subtitle timing", "without missing words", "end"]
+    assert texts == ["first one", "second one", "third", "The old ferry leaves tonight", "with all crew", "end"]
 
 
 def test_windows(spark, tmp_path):

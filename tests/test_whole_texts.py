@@ -37,7 +37,7 @@ def test_word_error_rate(run):
 
 
 def test_char_error_rate(run):
-    got = {r["turn"]: r for r in run("char_error_rate_all", TURNS)}
+    got = {r["turn"]: r for r in run("char_error_rate", TURNS)}
     assert sorted(got) == [0, 1]
     for k, r in got.items():
         want = distance(TURNS[k], TURNS[k + 1])
@@ -51,12 +51,12 @@ def test_wrapped_lines(run):
 
 
 def test_turns_beyond_ascii(run, tmp_path, spark):
-    got = run("norm_text_all", ["\u00c9t\u00e9, \u00e9t\u00e9!", "a \u00e9t\u00e9", "\u00e9t\u00e9 \u00c9T\u00c9", None])
+    got = run("norm_text", ["\u00c9t\u00e9, \u00e9t\u00e9!", "a \u00e9t\u00e9", "\u00e9t\u00e9 \u00c9T\u00c9", None])
     assert {r["turn"]: r["norm"] for r in got} == {0: "\u00e9t\u00e9 \u00e9t\u00e9", 1: "a \u00e9t\u00e9", 2: "\u00e9t\u00e9 \u00e9t\u00e9"}
     rows = lambda name: catalog.QUERIES[name](spark, f"file://{tmp_path}").collect()
-    assert sorted(r["turn"] for r in rows("distinct_candidates_all")) == [0, 1]
-    assert {r["turn"]: (r["token_similarity"], r["dice"]) for r in rows("token_similarity_all")} == {0: (0.5, 0.5), 1: (0.5, 0.5)}
-    assert {r["turn"]: r["repeats"] for r in rows("adjacent_repeats_all")} == {0: 1, 1: 0, 2: 1}
+    assert sorted(r["turn"] for r in rows("distinct_candidates")) == [0, 1]
+    assert {r["turn"]: (r["token_similarity"], r["dice"]) for r in rows("token_similarity")} == {0: (0.5, 0.5), 1: (0.5, 0.5)}
+    assert {r["turn"]: r["repeats"] for r in rows("adjacent_repeats")} == {0: 1, 1: 0, 2: 1}
 
 
 def test_dominant_repetition(run):
