@@ -16,6 +16,7 @@ from cuelake.operators import cues as C
 from cuelake.operators import folds
 from cuelake.operators import intervals as I
 from cuelake.operators import metrics as M
+from cuelake.operators import recognition as R
 from cuelake.operators import windows as W
 from cuelake.tables import cue_sql, cue_view, table
 
@@ -63,6 +64,42 @@ def cue_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.shift(cue_view(spark, sf_dir), -3600_000).select("media_id", "ord", "start_time", "end_time")
 
 
+#: Cues as a recogniser would give them for windows of an hour with ten minutes on either side, in the windows' own time.
+_HEARD = f"""WITH {CUE}, c AS (SELECT *, unnest(range(floor((start_time - 600) / 3600)::BIGINT, floor((start_time + 600) / 3600)::BIGINT + 1)) AS win_id FROM cue),
+h AS (SELECT media_id, win_id, ord, text, (start_time - (win_id * 3600.0::DOUBLE - 600.0::DOUBLE)) + (win_id * 3600.0::DOUBLE - 600.0::DOUBLE) AS a,
+(end_time - (win_id * 3600.0::DOUBLE - 600.0::DOUBLE)) + (win_id * 3600.0::DOUBLE - 600.0::DOUBLE) AS e, win_id * 3600.0::DOUBLE AS low FROM c WHERE end_time > start_time AND trim(text) <> ''),
+o AS (SELECT media_id, win_id, ord, text, {R3("greatest(0.0::DOUBLE, a, low)")} AS start_time, {R3("greatest(0.0::DOUBLE, e)")} AS end_time, a < low AS crosses FROM h WHERE a < low + 3600.0::DOUBLE AND e > a AND"""
+
+
+def _heard(spark: SparkSession, sf_dir: str, by_word: bool) -> DataFrame:
+    win = lambda t: F.floor(t / 3600)
+    c = cue_view(spark, sf_dir).withColumn("win_id", F.explode(F.sequence(win(F.col("start_time") - 600), win(F.col("start_time") + 600))))
+    low = F.col("win_id") * 3600.0
+    c = c.withColumn("chunk", F.struct("ord", "text", (F.col("start_time") - (low - 600.0)).alias("start_time"), (F.col("end_time") - (low - 600.0)).alias("end_time")))
+    c = c.groupBy("media_id", "win_id").agg(F.array_sort(F.collect_list("chunk")).alias("chunks"))
+    regions = F.lit(None).cast("array<struct<start_time:double,end_time:double>>").alias("regions")
+    more = (F.lit(by_word).alias("by_word"), (low - 600.0).alias("shift"), low.alias("core_start"), (low + 3600.0).alias("core_end"), F.lit(True).alias("keep_suffix"), regions)
+    return R.segments(c.select("media_id", "win_id", "chunks", F.lit("").alias("text"), *more))
+
+
+@query(
+    _HEARD + """ (a >= low OR e - low + 0.001::DOUBLE >= 0.5::DOUBLE))
+SELECT media_id, win_id, row_number() OVER (PARTITION BY media_id, win_id ORDER BY ord) - 1 AS ord, start_time, end_time, text, crosses FROM o WHERE end_time > start_time"""
+)
+def recognised_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that windows own, with the parts of those that cross into them."""
+    return _heard(spark, sf_dir, False).select("media_id", "win_id", F.col("ord").cast("bigint").alias("ord"), "start_time", "end_time", "text", "crosses")
+
+
+@query(
+    _HEARD + """ a >= low)
+SELECT media_id, win_id, min(start_time) AS start_time, arg_max(end_time, (start_time, end_time, text)) AS end_time, string_agg(text, ' ' ORDER BY start_time, end_time, text) AS text, count(*) AS words FROM o WHERE end_time > start_time GROUP BY 1, 2"""
+)
+def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One segment of the words that each window owns."""
+    return _heard(spark, sf_dir, True).select("media_id", "win_id", "start_time", "end_time", "text", F.size("words").cast("bigint").alias("words"))
+
+
 #: The least cue of the least media, which the edits below are made to.
 _FIRST = "one AS (SELECT media_id AS m, ord AS o FROM cue ORDER BY media_id, ord LIMIT 1), tagged AS (SELECT cue.*, media_id = m AND ord = o AS is_it FROM cue, one)"
 _EDITED = lambda body: f"WITH {CUE}, {_FIRST}, edited AS ({body}) SELECT media_id, ord, start_time, end_time, text, row_number() OVER (PARTITION BY media_id ORDER BY start_time, end_time, ord) AS index FROM edited"
