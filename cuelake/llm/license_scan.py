@@ -1,9 +1,10 @@
 """License scans by diagonal voting. JVM side only.
 
-All rolling 3-word hashes of all texts are joined with those of the license templates. A hit of text place i with template place j
-votes for the diagonal i - j. Hits of one template on diagonals that lie near each other are one span: insertions and deletions
-shift the diagonal a little. A span is verified by the share of the template's windows that it hits; for the phrases, whose
-windows must all stand on one diagonal, that is the exact phrase.
+All rolling 3-word hashes of all texts are held against those of the license templates; a window that is in none never leaves its
+row. A hit of text place i with template place j votes for the diagonal i - j. Hits of one notice on diagonals that lie near
+each other are one span: insertions and deletions shift the diagonal a little, by the notice's length at most. A span is
+verified by the words that its hits have in common with the notice in the same order, a longest common subsequence that is folded over
+the hits in bits, and by its length. The phrases' windows must all stand on one diagonal: that is the exact phrase.
 
 The templates are a fixed table of some hundred windows, which is broadcast. Hits are few, and they alone are shuffled.
 """
@@ -42,8 +43,10 @@ NOTICES = {
 }
 #: Diagonals at most so many words apart are one span.
 NEIGHBOURS = 3
-#: The least share of a notice's windows in a span.
-COVERED = 0.6
+#: The least share of a notice's words in a span, in order, and how often as long as the notice a span may be.
+COVERED, STRETCHED = 0.6, 2
+#: Words of a template: places of a subsequence are bits of a long.
+MOST_WORDS = 60
 
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -63,12 +66,13 @@ def license_words(text: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, label, exact, windows, j, h): a row for each window of each phrase and notice."""
+    """(template, label, exact, words, windows, j, h): a row for each window of each phrase and notice."""
     rows = [(f"phrase {k}", label, True, text.split()) for k, (text, label) in enumerate(PHRASES.items())]
     rows += [(f"notice {label}", label, False, text.split()) for label, text in NOTICES.items()]
+    assert all(len(w) <= MOST_WORDS for *_, w in rows)
     df = spark.createDataFrame(rows, "template string, label string, exact boolean, w array<string>")
     return df.select(
-        "template", "label", "exact", (F.size("w") - (K - 1)).alias("windows"),
+        "template", "label", "exact", F.size("w").alias("words"), (F.size("w") - (K - 1)).alias("windows"),
         F.posexplode(rolling(F.col("w"))).alias("j", "h"),
     )
 
@@ -81,35 +85,61 @@ def rolling(words: Column) -> Column:
     return F.transform(F.array(hashed), lambda h: F.when(F.size(h) < K, none).otherwise(window(h)))[0]
 
 
+def _in_order(hits: Column, words: Column) -> Column:
+    """Most words that a text has in common with a template in the same order, by ``hits``, structs of a diagonal and its places j.
+
+    Pairs of equal places go by in text order, for one text word the later places first, and each moves one bit (Hunt and Szymanski).
+    """
+    one = F.lit(1).cast("bigint")
+    full = F.call_function("shiftleft", one, words.cast("int")) - 1
+    place = lambda d, j: F.transform(F.array(*[F.lit(k) for k in range(K)]), lambda k: F.struct((d + j + k).alias("at"), (-j - k).alias("back")))
+    pairs = F.flatten(F.transform(hits, lambda x: F.flatten(F.transform(x["js"], lambda j: place(x["diagonal"], j)))))
+
+    def step(state: Column, x: Column) -> Column:
+        bit = state.bitwiseAND(F.call_function("shiftleft", one, (-x["back"]).cast("int")))
+        return (state + bit).bitwiseOR(state - bit).bitwiseAND(full)
+
+    return words - F.bit_count(F.aggregate(F.array_sort(F.array_distinct(pairs)), full, step))
+
+
 def scan(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, template, label, exact, start, stop, votes, share) of each verified span.
 
     Null and empty texts have no words and no spans. ``key`` tells texts apart. start and stop are places of words from 0, stop excluded.
-    A span of a phrase is one place of it; a span of a notice may shift by up to ``NEIGHBOURS`` words between neighbouring hits.
+    A span of a phrase is one place of it; a span of a notice may shift by up to ``NEIGHBOURS`` words between neighbouring diagonals
+    and by the notice's length in all; spans of one notice may overlap. votes is the number of different windows, share that of the
+    template's words that are in order. Other columns of ``df``, whatever their names, are not read.
     """
-    words = df.select(F.col(key), license_words(F.col(text)).alias("_w"))
-    windows = words.select(key, F.posexplode(rolling(F.col("_w"))).alias("i", "h"))
-    hits = windows.join(F.broadcast(templates(df.sparkSession)), "h").withColumn("diagonal", F.col("i") - F.col("j"))
-    votes = hits.groupBy(key, "template", "label", "exact", "windows", "diagonal").agg(
-        F.countDistinct("j").alias("votes"), F.min("i").alias("low"), F.max("i").alias("high")
-    )
-    exact = votes.where(F.col("exact") & (F.col("votes") == F.col("windows"))).select(
-        key, "template", "label", "exact", F.col("low").alias("start"), (F.col("high") + K).alias("stop"), "votes", F.lit(1.0).alias("share")
-    )
-    by = Window.partitionBy(key, "template").orderBy("diagonal")
-    loose = votes.where(~F.col("exact")).withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= NEIGHBOURS, 0).otherwise(1))
-    loose = loose.withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = loose.groupBy(key, "template", "label", "exact", "windows", "span").agg(
-        F.min("low").alias("start"), (F.max("high") + K).alias("stop"), F.sum("votes").alias("votes")
+    known = templates(df.sparkSession)
+    hashes = [r["h"] for r in known.select("h").distinct().collect()]
+    words = df.select(F.col(key).alias("_key"), license_words(F.col(text)).alias("_w"))
+    placed = F.transform(rolling(F.col("_w")), lambda h, i: F.struct(i.alias("i"), h.alias("h")))
+    windows = words.select("_key", F.inline(F.filter(placed, lambda x: x["h"].isin(hashes))))
+    hits = windows.join(F.broadcast(known), "h").withColumn("diagonal", F.col("i") - F.col("j"))
+    same = ["_key", "template", "label", "exact", "words", "windows"]
+    votes = hits.groupBy(*same, "diagonal").agg(F.collect_set("j").alias("js"), F.min("i").alias("low"), F.max("i").alias("high"))
+    by = Window.partitionBy("_key", "template").orderBy("diagonal")
+    near = ~F.col("exact") & (F.col("diagonal") - F.lag("diagonal").over(by) <= NEIGHBOURS)
+    chains = votes.withColumn("new", F.when(near, 0).otherwise(1)).withColumn("chain", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    drift = F.col("drift")
+    chains = chains.withColumn("drift", F.col("diagonal") - F.min("diagonal").over(Window.partitionBy("_key", "template", "chain")))
+    # cells of the notice's length in two alignments: what drifts by up to half of it is in one cell of either
+    cells = F.array(2 * F.floor(drift / F.col("windows")), 2 * F.floor(drift / F.col("windows") + 0.5) + 1)
+    cells = chains.withColumn("cell", F.explode(F.when(F.col("exact"), F.array(F.lit(0).cast("bigint"))).otherwise(cells)))
+    spans = cells.groupBy(*same, "chain", "cell").agg(
+        F.min("low").alias("start"), (F.max("high") + K).alias("stop"), F.collect_list(F.struct("diagonal", "js")).alias("hits")
     )
-    merged = merged.withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("windows"))).where(F.col("share") >= COVERED)
-    return exact.unionByName(merged.select(*exact.columns))
+    spans = spans.withColumn("votes", F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["js"])))).cast("bigint"))
+    whole = F.col("votes") == F.col("windows")
+    spans = spans.withColumn("share", F.when(F.col("exact"), F.when(whole, 1.0).otherwise(0.0)).otherwise(_in_order(F.col("hits"), F.col("words")) / F.col("words")))
+    verified = F.when(F.col("exact"), whole).otherwise((F.col("share") >= COVERED) & (F.col("stop") - F.col("start") <= STRETCHED * F.col("words")))
+    return spans.where(verified).select(F.col("_key").alias(key), "template", "label", "exact", "start", "stop", "votes", "share").distinct()
 
 
 def op9_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every whole text of ``documents``.
 
-    score is the largest share of a template's windows in a verified span, 0 without one. Rows are told apart by a hash of doc_id
+    score is the largest share of a template's words in a verified span, 0 without one. Rows are told apart by a hash of doc_id
     and text; repeated rows have one hash and equal results.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))

@@ -270,6 +270,53 @@ def test_licenses(spark, path):
     assert [rows[i]["n_words"] for i in range(len(ODD))] == [0, 0, 0, 1, 2, 5000, 3]
 
 
+def test_licenses_are_those_of_a_naive_scan(spark, path):
+    import re
+
+    rng = random.Random(16)
+    every = [*license_scan.PHRASES, *license_scan.NOTICES.values()]
+    filler = lambda n: [rng.choice(["stone", "river", "the", "license", "under", "cc"]) for _ in range(n)]
+    texts = []
+    for k in range(120):
+        own = rng.choice(every).split()
+        kind = k % 4
+        if kind == 1:
+            own = [w for w in own if rng.random() > 0.05]
+        elif kind == 2:
+            own = [x for w in own for x in ([w, "and"] if rng.random() < 0.05 else [w])]
+        elif kind == 3:
+            own = rng.sample(own, len(own))
+        texts.append(" ".join([*filler(rng.randrange(30)), *own, *filler(5), *(own if k % 7 == 0 else [])]))
+    notice = license_scan.NOTICES["cc-by"].split()
+    stretched = len(texts)
+    texts.append(" ".join(w for j in range(len(notice) - 2) for w in [*notice[j : j + 3], "stone"]))
+    df = documents(spark, texts).withColumns({c: F.lit("clash") for c in ("_key", "label", "start", "h", "i")})
+    rows = {r["doc_id"]: r for r in license_scan.op9_diagonal_voting(spark, path(documents=df)).collect()}
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = 0
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], old + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    agree = 0
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower())
+        at = {p: label for q, label in license_scan.PHRASES.items() for p in range(len(w)) if w[p : p + len(q.split())] == q.split()}
+        r = rows[i]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(at), ",".join(sorted(set(at.values()))))
+        assert (r["first_word"], r["last_word"]) == ((min(at), max(at)) if at else (None, None))
+        labels = set(at.values())
+        for label, text in license_scan.NOTICES.items():
+            n = text.split()
+            if any(lcs(w[p : p + len(n) + 4], n) >= 0.8 * len(n) and any(w[p + j : p + j + 3] == n[:3] for j in range(3)) for p in range(len(w))):
+                labels.add(label)
+        agree += set(filter(None, r["labels"].split(","))) == labels
+    assert agree >= 0.93 * len(texts) and rows[stretched]["labels"] == ""
+
+
 def test_language(spark, path):
     rng = random.Random(6)
     langs = {"aa": "lorem ipsum dolor sit amet".split(), "bb": "zwei drei vier sechs acht".split()}
