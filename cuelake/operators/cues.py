@@ -232,3 +232,87 @@ def distinct_candidates(candidates: DataFrame, by: list[str], text: str = "text"
     return first.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("ord"))).where(F.col("_rank") <= most).drop("_norm", "_nth", "_rank")
 
 
+
+
+#: What a cue that is added by hand says, and how long it is.
+NEW_TEXT = "New subtitle"
+NEW_LENGTH = 2.0
+
+
+def new_at(at: Column, duration: Column | None = None) -> Column:
+    """Struct (start_time, end_time, text) of a cue added at a time: two seconds long, within the media where its length is known.
+
+    At or beyond the end it is the last tenth of a second. A missing or infinite time is zero.
+    """
+    finite = at.isNotNull() & ~F.isnan(at) & (F.abs(at) < float("inf"))
+    start = F.when(finite, F.greatest(F.lit(0.0), rounded(at))).otherwise(0.0)
+    end = rounded(start + NEW_LENGTH)
+    if duration is not None:
+        known = F.coalesce((duration > 0) & ~F.isnan(duration) & (duration < float("inf")), F.lit(False))
+        late = known & (start >= duration)
+        end = F.when(known, F.least(duration, end)).otherwise(end)
+        start = F.when(late, rounded(duration - F.least(F.lit(LEAST_LENGTH), duration))).otherwise(start)
+        end = F.when(known, rounded(end)).otherwise(end)
+    return F.struct(start.alias("start_time"), end.alias("end_time"), F.lit(NEW_TEXT).alias("text"))
+
+
+def insert_beside(cues: DataFrame, media_id: str, ord_: int, after: bool) -> DataFrame:
+    """A new cue before or after this one, with the next free ``ord`` of the media; other columns null."""
+    a, b = F.col("start_time"), F.col("end_time")
+    start = b + 0.1 if after else F.greatest(F.lit(0.0), a - 2)
+    end = b + 2 if after else F.greatest(start + 1, a - 0.1)
+    free = cues.where(F.col(MEDIA) == F.lit(media_id)).agg((F.max("ord") + 1).alias("_free"))
+    new = cues.where(_is(media_id, ord_)).join(free).select(MEDIA, F.col("_free").alias("ord"), rounded(start).alias("start_time"), rounded(end).alias("end_time"), F.lit(NEW_TEXT).alias("text"))
+    return renumber(cues.unionByName(new, allowMissingColumns=True))
+
+
+def moved(cues: DataFrame, media_id: str, index: int, down: bool) -> DataFrame:
+    """Rows with an ``index`` of which this one and its neighbour change places; the first and the last stay where they cannot go."""
+    other = index + 1 if down else index - 1
+    size = F.max("index").over(Window.partitionBy(MEDIA))
+    here = (F.col(MEDIA) == F.lit(media_id)) & (size >= max(index, other)) & F.lit(other >= 1)
+    return cues.withColumn("index", F.when(here & (F.col("index") == index), other).when(here & (F.col("index") == other), index).otherwise(F.col("index")))
+
+
+def neighbours(cues: DataFrame, probes: DataFrame, slack: float = 0.05) -> DataFrame:
+    """``probes`` (media_id, t) with ``next_start`` and ``previous_start``.
+
+    The next cue is the first that starts more than ``slack`` after t; the previous one the last, in order of start, end and ord, that
+    ends more than ``slack`` before t. Two as-of joins by one sort each; no pairs are made.
+    """
+    w = Window.partitionBy(MEDIA)
+    key = F.struct("start_time", "end_time", "ord")
+    own = lambda at, value: cues.select(MEDIA, F.col(at).alias("_at"), value.alias("_value"), F.lit(False).alias("_probe"))
+    ask = lambda at: probes.select(MEDIA, "t", at.alias("_at"), F.lit(True).alias("_probe"))
+    ahead = ask(F.col("t") + slack).unionByName(own("start_time", F.col("start_time")), allowMissingColumns=True)
+    ahead = ahead.withColumn("next_start", F.last("_value", True).over(w.orderBy(F.desc("_at"), F.desc("_probe")).rowsBetween(Window.unboundedPreceding, -1)))
+    back = ask(F.col("t") - slack).unionByName(own("end_time", key), allowMissingColumns=True)
+    back = back.withColumn("previous_start", F.max("_value").over(w.orderBy(F.asc("_at"), F.desc("_probe")).rowsBetween(Window.unboundedPreceding, -1))["start_time"])
+    nexts = ahead.where("_probe").select(MEDIA, "t", "next_start").distinct()
+    befores = back.where("_probe").select(MEDIA, "t", "previous_start").distinct()
+    return probes.join(nexts, [MEDIA, "t"], "left").join(befores, [MEDIA, "t"], "left")
+
+
+def extent(cues: DataFrame, duration: DataFrame | None = None, least: float = 30.0) -> DataFrame:
+    """(media_id, extent): the media's length or the end of its last cue, half a minute at least."""
+    last = cues.groupBy(MEDIA).agg(F.max(F.struct("start_time", "end_time", "ord"))["end_time"].alias("_last"))
+    if duration is None:
+        return last.select(MEDIA, F.greatest(F.lit(least), "_last").alias("extent"))
+    return last.join(duration, MEDIA, "full_outer").select(MEDIA, F.greatest(F.lit(least), F.coalesce("duration", F.lit(0.0)), F.coalesce("_last", F.lit(0.0))).alias("extent"))
+
+
+def without_stale_words(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after`` without the words and confidence of cues whose edit left them behind.
+
+    They stay if the cue is new, if its words are other ones than before, or if its text is the same but for white space and its times
+    are the same or still hold all words, a millisecond to spare.
+    """
+    old = before.select(MEDIA, "ord", F.struct("start_time", "end_time", "text", "words").alias("_old"))
+    rows = after.join(old, [MEDIA, "ord"], "left")
+    same_text = collapse(F.col("text")).eqNullSafe(collapse(F.col("_old.text")))
+    same_time = (F.col("start_time") == F.col("_old.start_time")) & (F.col("end_time") == F.col("_old.end_time"))
+    has = F.coalesce(F.size("words") > 0, F.lit(False))
+    inside = F.forall("words", lambda x: (x["start_time"] >= F.col("start_time") - 0.001) & (x["end_time"] <= F.col("end_time") + 0.001))
+    fresh = has & ~F.col("words").eqNullSafe(F.col("_old.words"))
+    keep = F.col("_old").isNull() | fresh | (same_text & (same_time | (has & F.coalesce(inside, F.lit(False)))))
+    return rows.withColumns({c: F.when(keep, F.col(c)) for c in ("words", "confidence") if c in after.columns}).drop("_old")

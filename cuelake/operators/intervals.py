@@ -80,9 +80,8 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, at: str, target: st
     tag = points.withColumn("_t", F.col(at).cast("double")).withColumn("_target", F.lit(None).cast("double")).withColumn("_point", F.lit(1))
     own = targets.select(key, F.col(target).cast("double").alias("_t")).distinct().withColumn("_target", F.col("_t")).withColumn("_point", F.lit(0))
     both = tag.unionByName(own, allowMissingColumns=True)
-    order = lambda last: Window.partitionBy(key).orderBy("_t", last)
-    before = F.last("_target", ignorenulls=True).over(order("_point").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_target", ignorenulls=True).over(order(F.desc("_point")).rowsBetween(0, Window.unboundedFollowing))
+    last = lambda t: F.last("_target", ignorenulls=True).over(Window.partitionBy(key).orderBy(t, "_point").rowsBetween(Window.unboundedPreceding, 0))
+    before, after = last("_t"), last(F.desc("_t"))  # a frame that reaches forward would be gone through once a row
     found = both.withColumns({"_before": before, "_after": after}).where("_point = 1")
     gap = lambda c: F.abs(F.col(c) - F.col("_t"))
     pick = F.when(F.col("_after").isNull() | (gap("_before") <= gap("_after")), F.col("_before")).otherwise(F.col("_after"))

@@ -47,12 +47,19 @@ def gap_statistics(cues: DataFrame, by: str = "media_id") -> DataFrame:
     return distribution(g, [by], "gap").join(signs, by)
 
 
-def overlaps(cues: DataFrame, by: str = "media_id", width: float = 600.0) -> DataFrame:
-    """(by, pairs, seconds): all pairs of valid cues that overlap, and the sum of what they share."""
-    rows = cues.select(by, "ord", "start_time", "end_time")
-    pairs = intervals.range_join(rows, rows, by, width).where(F.col("ord") < F.col("ord_b"))
-    shared = F.least("end_time", "end_time_b") - F.greatest("start_time", "start_time_b")
-    found = pairs.groupBy(by).agg(F.count("*").alias("pairs"), F.sum(shared).alias("seconds"))
+def overlaps(cues: DataFrame, by: str = "media_id") -> DataFrame:
+    """(by, pairs, seconds): all pairs of valid cues that overlap, and the sum of what they share.
+
+    One sweep over the borders, no pair is made: a cue that starts meets all that are open, and while n are open n * (n - 1) / 2 pairs
+    share the time.
+    """
+    ok = cues.where(intervals.valid(F.col("start_time"), F.col("end_time")))
+    edges = ok.select(by, F.explode(F.array(F.struct(F.col("start_time").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_time").alias("t"), F.lit(-1).alias("d")))).alias("x"))
+    order = Window.partitionBy(by).orderBy("x.t", "x.d")  # ends come before starts of the same time
+    rows = edges.withColumns({"_open": F.sum("x.d").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead("x.t").over(order)})
+    met = F.sum(F.when(F.col("x.d") == 1, F.col("_open") - 1))
+    shared = F.sum((F.col("_next") - F.col("x.t")) * F.col("_open") * (F.col("_open") - 1) / 2)
+    found = rows.groupBy(by).agg(met.alias("pairs"), shared.alias("seconds"))
     return cues.select(by).distinct().join(found, by, "left").select(by, F.coalesce("pairs", F.lit(0)).alias("pairs"), metric(F.coalesce("seconds", F.lit(0.0))).alias("seconds"))
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
@@ -191,7 +191,14 @@ def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("media_id", "ord", parse_timestamp(vtt_timestamp(F.col("start_time"))).alias("seconds"), milliseconds(F.col("end_time")).alias("ms"))
 
 
-@query(None)
+_MS = "floor(greatest(0.0::DOUBLE, end_time - start_time) * 1000.0::DOUBLE + 0.5::DOUBLE)::BIGINT"
+
+
+@query(
+    f"""WITH {CUE}, d AS (SELECT media_id, ord, {_MS} AS ms FROM cue)
+SELECT media_id, ord, CASE WHEN ms >= 3600000 THEN CASE WHEN ms < 36000000 THEN '0' ELSE '' END || (ms // 3600000)::VARCHAR || ':' ELSE '' END
+|| lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || CASE WHEN ms % 1000 = 0 THEN '' ELSE '.' || lpad((ms % 1000)::VARCHAR, 3, '0') END AS duration FROM d"""
+)
 def fmt_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cue_view(spark, sf_dir).select("media_id", "ord", format_duration(F.col("end_time") - F.col("start_time")).alias("duration"))
 
@@ -327,8 +334,9 @@ def sliding_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS media_id, (list_sort(list(value)))[(floor(0.2 * (count(*) - 1)))::INT + 1] AS noise FROM events GROUP BY 1")
 def noise_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("media_id")).agg(F.array_sort(F.collect_list("value")).alias("v"))
-    return e.select("media_id", F.get("v", F.floor(F.lit(0.2) * (F.size("v") - 1)).cast("int")).alias("noise"))
+    by = Window.partitionBy("user_id")
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").withColumns({"nth": F.row_number().over(by.orderBy("value")), "n": F.count("*").over(by)})
+    return e.where(F.col("nth") == F.floor(F.lit(0.2) * (F.col("n") - 1)) + 1).select(F.col("user_id").alias("media_id"), F.col("value").alias("noise"))
 
 
 @query(
@@ -543,9 +551,13 @@ def dominant_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", T.dominant_repetition(F.col("w")).alias("repetition"))
 
 
-@query(None)
+@query(
+    f"""WITH {CUE}, v AS (SELECT *, end_time - start_time AS s, length(text) AS n, start_time >= 0 AND end_time > start_time AND trim(text) <> '' AS ok FROM cue)
+SELECT media_id, count(*) AS cues, count(*) FILTER (NOT ok) AS invalid, count(*) FILTER (ok AND n / s > 21.0::DOUBLE + 1e-9) AS fast, {R3("max(CASE WHEN ok THEN n / s END)")} AS fastest,
+count(*) FILTER (ok AND n > 42) AS wide, 0 AS tall, count(*) FILTER (ok AND s < 60.0::DOUBLE - 1e-9) AS short, count(*) FILTER (ok AND s > 7200.0::DOUBLE + 1e-9) AS long FROM v GROUP BY 1"""
+)
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.quality(cue_view(spark, sf_dir), least=60.0, most=7200.0)
+    return M.quality(cue_view(spark, sf_dir), least=60.0, most=7200.0).withColumn("fastest", rounded(F.col("fastest"))).withColumn("tall", F.col("tall").cast("int"))
 
 
 @query(None)
