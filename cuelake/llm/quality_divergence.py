@@ -1,13 +1,17 @@
-"""Quality rules by distribution divergence. JVM side only: one scan, no shuffle, no Python.
+"""Quality rules by distribution divergence. JVM side only: one scan learns the references, one judges, no Python.
 
-A document's histograms of character classes and of common words are compared with those of each language reference by the
-Jensen-Shannon distance (base 2: 0 equal, 1 disjoint). The nearest language decides. Short documents have too few words for a
-histogram and are not judged by it.
+A document's histograms of character classes and of common words are compared with those of language references by the
+Jensen-Shannon distance (base 2: 0 equal, 1 disjoint). Short documents have too few words for a histogram and are not judged by it.
+
+A reference is the mean histogram of all documents of a language that are long enough and no heaps of symbols, each counting once. For the languages of
+``COMMON`` fixed shares stand in with the weight of ``PRIOR`` documents, so that a small table does not judge itself. A document is
+compared with the classes of its own language; without one, with the nearest of ``COMMON``. Languages without a word list are judged
+by their classes alone.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +25,15 @@ COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem".split(),
     "es": "de la que el en y los se las del por un con no una para".split(),
 }
-#: Share of the commonest word in running text; the n-th commonest has a 1/n of it (Zipf's law).
+#: Before documents are seen, the share of the commonest word in running text; the n-th commonest has a 1/n of it (Zipf's law).
 TOP_SHARE = 0.055
-#: Shares of lower case, upper case, sentence punctuation, digits, symbols and anything else among the characters of words.
+#: Documents that the fixed shares count as.
+PRIOR = 50
+#: Documents with a greater share of symbols teach nothing.
+MOST_SYMBOLS = 0.02
+#: Languages whose references are kept at most; more are an error.
+MOST_LANGUAGES = 512
+#: Before documents are seen, shares of lower case, upper case, sentence punctuation, digits, symbols and anything else among the characters of words.
 CLASSES = {"lower": 0.9535, "upper": 0.0165, "point": 0.0275, "digit": 0.0015, "symbol": 0.0005, "other": 0.0005}
 
 
@@ -53,21 +63,42 @@ def _distance(twice: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), twice / 2)))
 
 
-def class_distance(counts: dict[str, Column], total: Column) -> Column:
-    """Distance between a document's character classes and ``CLASSES``; null without characters."""
+def fixed_words(lang: str) -> dict[str, float]:
+    return {w: round(TOP_SHARE / (i + 1), 6) for i, w in enumerate(COMMON[lang])}
+
+
+@dataclass(frozen=True)
+class References:
+    """Shares by language: ``classes`` of character classes, ``words`` of the common words (languages of ``COMMON`` only)."""
+
+    classes: dict[str, dict[str, float]] = field(default_factory=lambda: {k: dict(CLASSES) for k in COMMON})
+    words: dict[str, dict[str, float]] = field(default_factory=lambda: {k: fixed_words(k) for k in COMMON})
+
+
+def class_distance(counts: dict[str, Column], total: Column, shares: list[Column | float]) -> Column:
+    """Distance between a document's character classes and the shares, in the order of ``CLASSES``; null without characters."""
     parts = []
-    for name, q in CLASSES.items():
+    for name, q in zip(CLASSES, shares):
         p = counts[name] / total
-        parts.append(F.when(p > 0, _term(p, float(q))).otherwise(float(q)))  # an empty bin adds q * log2(q / (q / 2)) = q
+        parts.append(F.when(p > 0, _term(p, q)).otherwise(q))  # an empty bin adds q * log2(q / (q / 2)) = q
     twice = parts[0]
     for x in parts[1:]:
         twice = twice + x
     return F.when(total > 0, _distance(twice))
 
 
-def word_distance(runs: Column, n: Column, lang: str) -> Column:
+def own_class_distance(counts: dict[str, Column], total: Column, lang: Column | None, classes: dict[str, dict[str, float]]) -> Column:
+    """Distance to the classes of the row's language; to the nearest of ``COMMON`` without one; null if the language has no reference."""
+    near = F.least(*[class_distance(counts, total, [float(classes[k][c]) for c in CLASSES]) for k in COMMON])
+    if lang is None:
+        return near
+    table = F.create_map(*[x for k, q in classes.items() for x in (F.lit(k), F.array(*[F.lit(float(q[c])) for c in CLASSES]))])
+    own = F.try_element_at(table, lang)
+    return F.when(lang.isNull(), near).otherwise(class_distance(counts, total, [F.get(own, F.lit(i)) for i in range(len(CLASSES))]))
+
+
+def word_distance(runs: Column, n: Column, shares: dict[str, float]) -> Column:
     """Distance between the common words of a document, ``runs`` of (word, n), and a language's; all other words are one bin."""
-    shares = {w: TOP_SHARE / (i + 1) for i, w in enumerate(COMMON[lang])}
     known = F.create_map(*[F.lit(x) for w, q in shares.items() for x in (w, q)])
     rest = 1.0 - sum(shares.values())
     own = F.filter(runs, lambda r: r["word"].isin(*shares))
@@ -113,36 +144,15 @@ def repeated_words(h: str) -> Column:
     ).cast("bigint")
 
 
-def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the counts and histograms that the verdict needs. Null text counts as text without words."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def histograms(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the words, their number and characters, the common ones and the counts of character classes. Null text has none."""
     common = sorted({w for ws in COMMON.values() for w in ws})
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    df = df.withColumns({"_w": words(F.col(text)), "_lines": lines})
-    df = df.withColumns(
-        {
-            "n_words": F.size("_w").cast("bigint"),
-            "_joined": F.array_join("_w", ""),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-            "_hashes": F.transform("_w", lambda x: F.xxhash64(x)),
-            "_common": F.array_sort(F.filter("_w", lambda x: x.isin(*common))),
-        }
-    )
-    df = df.withColumns(
-        {
-            "word_chars": F.length("_joined").cast("bigint"),
-            "_rest": F.regexp_replace("_joined", "\\p{Ll}+", ""),
-            "_windows": F.expr(
-                "CASE WHEN size(_hashes) < 4 THEN CAST(array() AS array<bigint>) ELSE "
-                "transform(sequence(1, size(_hashes) - 2), i -> xxhash64(_hashes[i - 1], _hashes[i], _hashes[i + 1])) END"
-            ),
-        }
-    )
+    df = df.withColumn("_w", words(F.col(text)))
+    df = df.withColumns({"n_words": F.size("_w").cast("bigint"), "_joined": F.array_join("_w", ""), "_common": F.filter("_w", lambda x: x.isin(*common))})
+    df = df.withColumns({"word_chars": F.length("_joined").cast("bigint"), "_rest": F.regexp_replace("_joined", "\\p{Ll}+", "")})
     left = lambda c, pattern: F.length(F.regexp_replace(c, pattern, ""))
-    df = df.withColumns(
+    return df.withColumns(
         {
-            "n_repeat_words": repeated_words("_windows"),
-            "_starts": run_starts("_common"),
             "_n_rest": F.length("_rest"),
             "n_symbols": (F.length("_rest") - left("_rest", "[#*$%&|<>]")).cast("bigint"),
             "_upper": F.length("_rest") - left("_rest", "\\p{Lu}"),
@@ -150,29 +160,80 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
             "_digit": F.length("_rest") - left("_rest", "[0-9]"),
         }
     )
+
+
+def class_counts() -> dict[str, Column]:
+    """Counts of the classes of ``CLASSES`` from the columns of ``histograms``."""
+    other = F.col("_n_rest") - F.col("_upper") - F.col("_point") - F.col("_digit") - F.col("n_symbols")
+    return {"lower": F.col("word_chars") - F.col("_n_rest"), "upper": F.col("_upper"), "point": F.col("_point"), "digit": F.col("_digit"), "symbol": F.col("n_symbols"), "other": other}
+
+
+def learnt(df: DataFrame, text: str = "text", lang: str = "lang", limits: Limits = Limits()) -> References:
+    """References from all documents with a language, enough words and at most ``MOST_SYMBOLS`` symbols: one scan, one aggregation of the shares of a few names.
+
+    Documents without language or text teach nothing; repeated rows count as often as they come. An empty table gives the fixed shares.
+    """
+    rows = histograms(df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text")), "_text")
+    rows = rows.where((F.col("n_words") >= limits.min_words) & (F.col("n_symbols") <= MOST_SYMBOLS * F.col("word_chars")))
+    one = lambda kind, name, share: F.struct(F.lit(kind).alias("kind"), name.alias("name"), share.cast("double").alias("share"))
+    classes = [one("class", F.lit(k), n / F.col("word_chars")) for k, n in class_counts().items()]
+    found = rows.select("_lang", F.explode(F.concat(F.array(*classes, one("docs", F.lit(""), F.lit(1.0))), F.transform("_common", lambda w: one("word", w, 1 / F.col("n_words"))))).alias("x"))
+    sums = found.groupBy("_lang", "x.kind", "x.name").agg(F.sum("x.share").alias("share"))
+    names = len(CLASSES) + 1 + len({w for ws in COMMON.values() for w in ws})
+    got = sums.limit(MOST_LANGUAGES * names + 1).collect()  # a row for each language and name; more languages than the bound are an error
+    shares = {(r["_lang"], r["kind"], r["name"]): r["share"] for r in got}
+    langs = {r["_lang"] for r in got}
+    if len(langs) > MOST_LANGUAGES or len(got) > MOST_LANGUAGES * names:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    fixed = References()
+
+    def mean(k: str, kind: str, name: str, before: float | None) -> float:
+        docs = shares.get((k, "docs", ""), 0.0)
+        total = shares.get((k, kind, name), 0.0)
+        return round(total / docs if before is None else (total + PRIOR * before) / (docs + PRIOR), 6)
+
+    return References(
+        {k: {c: mean(k, "class", c, fixed.classes[k][c] if k in COMMON else None) for c in CLASSES} for k in sorted({*COMMON, *langs})},
+        {k: {w: mean(k, "word", w, q) for w, q in fixed.words[k].items()} for k in COMMON},
+    )
+
+
+def features(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the counts and histograms that the verdict needs. Null text counts as text without words."""
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    df = histograms(df, text).withColumn("_lines", lines)
+    df = df.withColumns(
+        {
+            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
+            "_hashes": F.transform("_w", lambda x: F.xxhash64(x)),
+            "_common": F.array_sort("_common"),
+        }
+    )
+    windows = F.expr(
+        "CASE WHEN size(_hashes) < 4 THEN CAST(array() AS array<bigint>) ELSE "
+        "transform(sequence(1, size(_hashes) - 2), i -> xxhash64(_hashes[i - 1], _hashes[i], _hashes[i + 1])) END"
+    )
+    df = df.withColumn("_windows", windows).withColumns({"n_repeat_words": repeated_words("_windows"), "_starts": run_starts("_common")})
     runs = F.expr("transform(_starts, (p, j) -> struct(_common[p - 1] AS word, coalesce(get(_starts, j + 1), size(_common) + 1) - p AS n))")
     return df.withColumn("_runs", runs)
 
 
-def judge(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", limits: Limits = Limits(), lang: str | None = None, references: References = References()) -> DataFrame:
     """``df`` with word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words, class_distance, word_distance, nearest_lang,
     base_failed and kept.
 
     Null and blank texts have no words, no distances (null) and fail the base rules. Languages are compared in the order of
-    ``COMMON``; the first nearest one wins a tie. Every row is judged on its own, so repeated rows get equal verdicts.
+    ``COMMON``; the first nearest one wins a tie. With ``lang``, the name of a column, rows of a language without a reference are not
+    judged by it: word_distance and nearest_lang are null where it has no word list, class_distance where no document taught it. Every
+    row is judged on its own, so repeated rows get equal verdicts.
     """
     df = features(df, text)
-    total = F.col("word_chars")
-    counts = {
-        "lower": total - F.col("_n_rest"),
-        "upper": F.col("_upper"),
-        "point": F.col("_point"),
-        "digit": F.col("_digit"),
-        "symbol": F.col("n_symbols"),
-        "other": F.col("_n_rest") - F.col("_upper") - F.col("_point") - F.col("_digit") - F.col("n_symbols"),
-    }
-    by_lang = [F.struct(word_distance(F.col("_runs"), F.col("n_words"), k).alias("d"), F.lit(i).alias("i"), F.lit(k).alias("lang")) for i, k in enumerate(COMMON)]
-    df = df.withColumns({"class_distance": class_distance(counts, total), "_near": F.array_min(F.array(*by_lang))})
+    language = F.col(lang) if lang else None
+    by_lang = [F.struct(word_distance(F.col("_runs"), F.col("n_words"), references.words[k]).alias("d"), F.lit(i).alias("i"), F.lit(k).alias("lang")) for i, k in enumerate(COMMON)]
+    near = F.array_min(F.array(*by_lang))
+    if language is not None:
+        near = F.when(language.isNull() | language.isin(*COMMON), near)
+    df = df.withColumns({"class_distance": own_class_distance(class_counts(), F.col("word_chars"), language, references.classes), "_near": near})
     enough_chars, enough_words = F.col("word_chars") >= limits.min_chars, F.col("n_words") >= limits.min_words
     far_class = enough_chars & (F.col("class_distance") > limits.max_class_distance)
     far_words = enough_words & (F.col("_near.d") > limits.max_word_distance)
@@ -182,7 +243,7 @@ def judge(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataF
             "word_distance": F.col("_near.d"),
             "nearest_lang": F.when(F.col("_near.d").isNotNull(), F.col("_near.lang")),
             "base_failed": (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50),
-            "_far": F.coalesce(far_class | far_words | far_both, F.lit(False)),
+            "_far": F.coalesce(far_class, F.lit(False)) | F.coalesce(far_words, F.lit(False)) | F.coalesce(far_both, F.lit(False)),
         }
     )
     df = df.withColumn("kept", ~F.col("base_failed") & ~F.col("_far"))
@@ -190,9 +251,9 @@ def judge(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataF
 
 
 def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality verdict on every whole text of ``documents``; only doc_id and text are read."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs).select(
+    """Quality verdict on every whole text of ``documents``; only doc_id, text and lang are read."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return judge(docs, lang="lang", references=learnt(docs)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "class_distance", "word_distance", "nearest_lang",
     )
