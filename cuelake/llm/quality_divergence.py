@@ -75,26 +75,16 @@ class References:
     words: dict[str, dict[str, float]] = field(default_factory=lambda: {k: fixed_words(k) for k in COMMON})
 
 
-def class_distance(counts: dict[str, Column], total: Column, shares: list[Column | float]) -> Column:
-    """Distance between a document's character classes and the shares, in the order of ``CLASSES``; null without characters."""
-    parts = []
-    for name, q in zip(CLASSES, shares):
-        p = counts[name] / total
-        parts.append(F.when(p > 0, _term(p, q)).otherwise(q))  # an empty bin adds q * log2(q / (q / 2)) = q
-    twice = parts[0]
-    for x in parts[1:]:
-        twice = twice + x
-    return F.when(total > 0, _distance(twice))
-
-
-def own_class_distance(counts: dict[str, Column], total: Column, lang: Column | None, classes: dict[str, dict[str, float]]) -> Column:
-    """Distance to the classes of the row's language; to the nearest of ``COMMON`` without one; null if the language has no reference."""
-    near = F.least(*[class_distance(counts, total, [float(classes[k][c]) for c in CLASSES]) for k in COMMON])
-    if lang is None:
-        return near
-    table = F.create_map(*[x for k, q in classes.items() for x in (F.lit(k), F.array(*[F.lit(float(q[c])) for c in CLASSES]))])
-    own = F.try_element_at(table, lang)
-    return F.when(lang.isNull(), near).otherwise(class_distance(counts, total, [F.get(own, F.lit(i)) for i in range(len(CLASSES))]))
+def class_distance(p: Column, q: Column) -> Column:
+    """Distance between two arrays of shares of character classes."""
+    parts = F.zip_with(p, q, lambda x, y: F.when(x > 0, _term(x, y)).otherwise(y))  # an empty bin adds q * log2(q / (q / 2)) = q
+    return _distance(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
+
+
+def own_class_distance(p: Column, q: Column | None, lang: Column | None, classes: dict[str, dict[str, float]]) -> Column:
+    """Distance of the shares ``p`` to ``q``, those of the row's language, null for none; to the nearest of ``COMMON`` without a language."""
+    near = F.array_min(F.transform(F.array(*[F.array(*[F.lit(float(classes[k][c])) for c in CLASSES]) for k in COMMON]), lambda x: class_distance(p, x)))
+    return near if lang is None else F.when(lang.isNull(), near).when(q.isNotNull(), class_distance(p, q))
 
 
 def word_distance(runs: Column, n: Column, shares: dict[str, float]) -> Column:
@@ -174,15 +164,17 @@ def learnt(df: DataFrame, text: str = "text", lang: str = "lang", limits: Limits
     Documents without language or text teach nothing; repeated rows count as often as they come. An empty table gives the fixed shares.
     """
     rows = histograms(df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text")), "_text")
-    rows = rows.where((F.col("n_words") >= limits.min_words) & (F.col("n_symbols") <= MOST_SYMBOLS * F.col("word_chars")))
+    teaches = (F.col("n_words") >= limits.min_words) & (F.col("n_symbols") <= MOST_SYMBOLS * F.col("word_chars"))
     one = lambda kind, name, share: F.struct(F.lit(kind).alias("kind"), name.alias("name"), share.cast("double").alias("share"))
     classes = [one("class", F.lit(k), n / F.col("word_chars")) for k, n in class_counts().items()]
-    found = rows.select("_lang", F.explode(F.concat(F.array(*classes, one("docs", F.lit(""), F.lit(1.0))), F.transform("_common", lambda w: one("word", w, 1 / F.col("n_words"))))).alias("x"))
+    all_shares = F.concat(F.array(*classes, one("docs", F.lit(""), F.lit(1.0))), F.transform("_common", lambda w: one("word", w, 1 / F.col("n_words"))))
+    # a filter would be pushed below the histograms and compute them a second time; rows that teach nothing give a null
+    found = rows.select("_lang", F.explode_outer(F.when(teaches, all_shares)).alias("x"))
     sums = found.groupBy("_lang", "x.kind", "x.name").agg(F.sum("x.share").alias("share"))
-    names = len(CLASSES) + 1 + len({w for ws in COMMON.values() for w in ws})
+    names = len(CLASSES) + 2 + len({w for ws in COMMON.values() for w in ws})
     got = sums.limit(MOST_LANGUAGES * names + 1).collect()  # a row for each language and name; more languages than the bound are an error
     shares = {(r["_lang"], r["kind"], r["name"]): r["share"] for r in got}
-    langs = {r["_lang"] for r in got}
+    langs = {r["_lang"] for r in got if r["kind"] == "docs"}
     if len(langs) > MOST_LANGUAGES or len(got) > MOST_LANGUAGES * names:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     fixed = References()
@@ -233,7 +225,13 @@ def judge(df: DataFrame, text: str = "text", limits: Limits = Limits(), lang: st
     near = F.array_min(F.array(*by_lang))
     if language is not None:
         near = F.when(language.isNull() | language.isin(*COMMON), near)
-    df = df.withColumns({"class_distance": own_class_distance(class_counts(), F.col("word_chars"), language, references.classes), "_near": near})
+    own = None
+    if language is not None:
+        own = F.try_element_at(F.create_map(*[x for k, q in references.classes.items() for x in (F.lit(k), F.array(*[F.lit(float(q[c])) for c in CLASSES]))]), language)
+    shares = F.when(F.col("word_chars") > 0, F.array(*[n / F.col("word_chars") for n in class_counts().values()]))
+    df = df.withColumns({"_p": shares, "_q": own if own is not None else F.lit(None).cast("array<double>")})  # columns first: each is used many times
+    distance = F.when(F.col("_p").isNotNull(), own_class_distance(F.col("_p"), F.col("_q"), language, references.classes))
+    df = df.withColumns({"class_distance": distance, "_near": near})
     enough_chars, enough_words = F.col("word_chars") >= limits.min_chars, F.col("n_words") >= limits.min_words
     far_class = enough_chars & (F.col("class_distance") > limits.max_class_distance)
     far_words = enough_words & (F.col("_near.d") > limits.max_word_distance)
@@ -247,7 +245,7 @@ def judge(df: DataFrame, text: str = "text", limits: Limits = Limits(), lang: st
         }
     )
     df = df.withColumn("kept", ~F.col("base_failed") & ~F.col("_far"))
-    return df.drop("_w", "_lines", "_joined", "_hashes", "_windows", "_common", "_rest", "_starts", "_runs", "_n_rest", "_upper", "_point", "_digit", "_near", "_far")
+    return df.drop("_w", "_lines", "_joined", "_hashes", "_windows", "_common", "_rest", "_starts", "_runs", "_n_rest", "_upper", "_point", "_digit", "_p", "_q", "_near", "_far")
 
 
 def op7_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
