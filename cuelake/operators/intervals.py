@@ -45,27 +45,54 @@ def range_join(a: DataFrame, b: DataFrame, key: str, width: float, start: str =
     )
 
 
+def stretches(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
+    """(key, start_time, end_time, in_a, in_b): each key's time cut where the union of ``a`` or that of ``b`` opens or closes, and which is open.
+
+    One sweep: each side's borders as +1 and -1, and running sums of them. No interval is copied, however long it is.
+    """
+    border = lambda c, d, side: F.struct(F.col(c).alias("t"), *[F.lit(d if side == x else 0).alias(f"in_{x}") for x in "ab"])
+    edge = lambda df, side: df.where(valid(F.col("start_time"), F.col("end_time"))).select(
+        *key, F.explode(F.array(border("start_time", 1, side), border("end_time", -1, side))).alias("x")
+    )
+    by = Window.partitionBy(*key).orderBy("t")
+    open_ = lambda side: F.sum(f"in_{side}").over(by.rowsBetween(Window.unboundedPreceding, 0)) > 0
+    edges = edge(a, "a").unionByName(edge(b, "b")).select(*key, "x.*")
+    # the last border of a time has the sums of all of them
+    times = edges.select(*key, "t", open_("a").alias("in_a"), open_("b").alias("in_b"), F.lead("t").over(by).alias("_next")).where("_next IS NULL OR _next > t")
+    turns = times.withColumns({f"_{c}": F.lag(c).over(by) for c in ("in_a", "in_b")}).where("_in_a IS NULL OR _in_a != in_a OR _in_b != in_b")
+    return turns.select(*key, F.col("t").alias("start_time"), F.lead("t").over(by).alias("end_time"), "in_a", "in_b").where("end_time IS NOT NULL")
+
+
 def intersect(a: DataFrame, b: DataFrame, key: str, width: float = 600.0) -> DataFrame:
-    """(key, start_time, end_time): what the unions of both sides share."""
-    pairs = range_join(union(a, key).drop("members"), union(b, key).drop("members"), key, width)
-    return pairs.select(key, F.greatest("start_time", "start_time_b").alias("start_time"), F.least("end_time", "end_time_b").alias("end_time"))
+    """(key, start_time, end_time): what the unions of both sides share. A null key is nobody's. ``width`` is not needed any more."""
+    return stretches(a.where(F.col(key).isNotNull()), b.where(F.col(key).isNotNull()), key).where("in_a AND in_b").select(key, "start_time", "end_time")
 
 
 def subtract(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """(key, start_time, end_time): what the union of ``a`` has and that of ``b`` does not.
+    """(key, start_time, end_time): what the union of ``a`` has and that of ``b`` does not."""
+    return stretches(a, b, key).where("in_a AND NOT in_b").select(key, "start_time", "end_time")
+
 
-    One sweep: each side's borders as +1 and -1, running sums of them, and the stretches in which ``a`` alone is open.
+def shared_seconds(df: DataFrame, regions: DataFrame, key: str) -> DataFrame:
+    """Valid rows of ``df`` with ``shared``: the seconds of each that the union of ``regions`` covers. A null key shares nothing.
+
+    Two as-of joins by sorting: the last region at a row's start and the one at its end; those between count by the difference of running
+    sums, which is exactly zero where there are none.
     """
-    edge = lambda df, side: union(df, key).select(
-        key, F.explode(F.array(*[F.struct(F.col(c).alias("t"), F.lit(d if side == "a" else 0).alias("in_a"), F.lit(d if side == "b" else 0).alias("in_b")) for c, d in (("start_time", 1), ("end_time", -1))])).alias("x")
-    )
-    edges = edge(a, "a").unionByName(edge(b, "b")).groupBy(key, F.col("x.t").alias("t")).agg(F.sum("x.in_a").alias("in_a"), F.sum("x.in_b").alias("in_b"))
-    by = Window.partitionBy(key).orderBy("t")
-    running = by.rowsBetween(Window.unboundedPreceding, 0)
-    open_ = edges.select(
-        key, F.col("t").alias("start_time"), F.lead("t").over(by).alias("end_time"), F.sum("in_a").over(running).alias("in_a"), F.sum("in_b").over(running).alias("in_b")
-    )
-    return open_.where("in_a > 0 AND in_b = 0 AND end_time IS NOT NULL").select(key, "start_time", "end_time")
+    nothing = F.lit(0.0)
+    by = Window.partitionBy(key).orderBy("start_time")
+    upto = F.sum(F.col("end_time") - F.col("start_time")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    own = union(regions.where(F.col(key).isNotNull()), key).withColumn("_upto", upto)
+    own = own.withColumn("_region", F.struct("start_time", "end_time", F.coalesce(F.lag("_upto").over(by), nothing).alias("before"), F.col("_upto").alias("upto")))
+    rows = df.where(valid(F.col("start_time"), F.col("end_time"))).withColumns({"_from": F.col("start_time"), "_to": F.col("end_time"), "_row": F.lit(1)})
+    both = rows.unionByName(own.select(key, "_region", F.col("start_time").alias("_from"), F.col("start_time").alias("_to"), F.lit(0).alias("_row")), allowMissingColumns=True)
+    last = lambda t: F.last("_region", ignorenulls=True).over(Window.partitionBy(key).orderBy(t, "_row").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_i", last("_from")).withColumn("_j", last("_to")).where("_row = 1")
+    start, end, i, j = F.col("start_time"), F.col("end_time"), F.col("_i"), F.col("_j")
+    tail = F.least(end, j["end_time"])
+    several = F.coalesce(F.greatest(nothing, i["end_time"] - start), nothing) + (j["before"] - F.coalesce(i["upto"], nothing)) + (tail - j["start_time"])
+    shared = F.when(j.isNull(), nothing).when(i["start_time"] == j["start_time"], F.greatest(nothing, tail - start)).otherwise(several)
+    return found.withColumn("shared", shared).select(*df.columns, "shared")
 
 
 def total(df: DataFrame, key: str, name: str = "seconds") -> DataFrame:

@@ -84,15 +84,19 @@ def quality(cues: DataFrame, by: str = "media_id", max_cps: float = 21.0, width:
 
 
 def speech_coverage(reference: DataFrame, candidate: DataFrame, by: str = "media_id", least_share: float = 0.5) -> DataFrame:
-    """Seconds of reference speech that candidate cues cover and miss, seconds of cues over silence, and cues mostly over silence."""
-    speech, cues = intervals.union(reference, by).drop("members"), intervals.union(candidate, by).drop("members")
-    both = intervals.total(intervals.intersect(speech, cues, by), by, "covered")
-    out = intervals.total(speech, by, "speech").join(intervals.total(cues, by, "cues"), by, "full_outer").join(both, by, "left").fillna(0.0, ["speech", "cues", "covered"])
-    single = candidate.where(intervals.valid(F.col("start_time"), F.col("end_time"))).select(by, "ord", "start_time", "end_time")
-    pairs = intervals.range_join(single, speech, by, 600.0)
-    shared = F.sum(F.least("end_time", "end_time_b") - F.greatest("start_time", "start_time_b")).alias("shared")
-    own = single.join(pairs.groupBy(by, "ord").agg(shared), [by, "ord"], "left")
-    silent = own.groupBy(by).agg(F.count_if(F.coalesce("shared", F.lit(0.0)) / (F.col("end_time") - F.col("start_time")) < least_share).alias("mostly_silent"))
+    """Seconds of reference speech that candidate cues cover and miss, seconds of cues over silence, and cues mostly over silence.
+
+    Both sides are swept over once, so rows do not become more with their length. Sides without a media have a row each.
+    """
+    known = F.col(by).isNotNull()
+    sides = (df.select(by, "start_time", "end_time", F.when(~known, F.lit(side)).alias("_side")) for df, side in ((reference, "reference"), (candidate, "candidate")))
+    seconds = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("end_time") - F.col("start_time"))), F.lit(0.0))
+    out = intervals.stretches(*sides, by, "_side").groupBy(by, "_side").agg(
+        seconds(F.col("in_a")).alias("speech"), seconds(F.col("in_b")).alias("cues"), seconds(F.col("in_a") & F.col("in_b")).alias("covered")
+    )
+    own = intervals.shared_seconds(candidate.where(known).select(by, "ord", "start_time", "end_time"), reference, by)
+    own = own.groupBy(by, "ord").agg(F.sum("shared").alias("shared"), F.first(F.col("end_time") - F.col("start_time")).alias("length"))
+    silent = own.groupBy(by).agg(F.count_if(F.col("shared") / F.col("length") < least_share).alias("mostly_silent"))
     return out.join(silent, by, "left").select(
         by, metric(F.col("speech")).alias("speech"), metric(F.col("covered")).alias("covered"), metric(F.col("speech") - F.col("covered")).alias("missed"),
         ratio(F.col("speech") - F.col("covered"), F.col("speech")).alias("missed_share"), metric(F.col("cues") - F.col("covered")).alias("over_silence"),
