@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -109,15 +110,19 @@ def repeated_phrases(tokens: Column, least: int = 2, most: int = 5) -> Column:
 
     At a place the longest such phrase counts, and the places of its repetition are passed over. Null for null.
     """
-    said = lambda at, size: F.slice(tokens, at, F.lit(size))
-    again = lambda at, size: (at > size) & (at + size - 1 <= F.size(tokens)) & (said(F.greatest(at - size, F.lit(1)), size) == said(at, size))
-    places = F.when(F.size(tokens) > least, F.sequence(F.lit(least + 1), F.size(tokens))).otherwise(F.array().cast("array<int>"))
-    longest = F.transform(places, lambda at: F.struct(at.alias("at"), F.coalesce(*[F.when(again(at, n), n) for n in range(most, least - 1, -1)], F.lit(0)).alias("size")))
-    heard = F.filter(longest, lambda x: x["size"] > 0)
     state = lambda free, times, total: F.struct(free.cast("int").alias("free"), times.cast("int").alias("times"), total.cast("int").alias("said"))
     taken = lambda now, x: F.when(x["at"] < now["free"], now).otherwise(state(x["at"] + x["size"], now["times"] + 1, now["said"] + x["size"]))
-    out = F.aggregate(heard, state(F.lit(0), F.lit(0), F.lit(0)), taken, lambda x: F.struct(x["times"].alias("times"), x["said"].alias("said")))
-    return F.when(tokens.isNotNull(), out)
+
+    def found(t: Column) -> Column:
+        same = lambda at, size: [F.get(t, at - 1 + k).eqNullSafe(F.get(t, at - 1 + k - size)) for k in range(size)]
+        again = lambda at, size: reduce(lambda a, b: a & b, same(at, size), (at > size) & (at + size - 1 <= F.size(t)))  # noqa: E731  mostly the first word tells
+        places = F.when(F.size(t) > least, F.sequence(F.lit(least + 1), F.size(t))).otherwise(F.array().cast("array<int>"))
+        longest = F.transform(places, lambda at: F.struct(at.alias("at"), F.coalesce(*[F.when(again(at, n), n) for n in range(most, least - 1, -1)], F.lit(0)).alias("size")))
+        heard = F.filter(longest, lambda x: x["size"] > 0)
+        out = F.aggregate(heard, state(F.lit(0), F.lit(0), F.lit(0)), taken, lambda x: F.struct(x["times"].alias("times"), x["said"].alias("said")))
+        return F.when(t.isNotNull(), out)
+
+    return F.transform(F.array(tokens), found)[0]  # a lambda's parameter is computed once, a column that it names once a place
 
 
 def _distances(row: np.ndarray, part: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:

@@ -62,3 +62,12 @@ def test_turns_beyond_ascii(run, tmp_path, spark):
 def test_dominant_repetition(run):
     got = {r["turn"]: r["repetition"] for r in run("dominant_repetition", [" ".join(f"x{k}" for k in range(410)) + " a b" * 150, LONG[:40]])}
     assert got[0] is not None and got[0]["share"] >= 0.3 and got[1] is None
+
+
+def test_phrase_repeats_of_long_turns(run, spark, tmp_path):
+    words = [f"w{k}" for k in range(8000)]
+    twice = words[:5000] + words[4996:]  # four words are said again
+    got = {r["turn"]: (r["times"], r["said"]) for r in run("phrase_repeats", [" ".join(words), " ".join(twice), "Yes, no. Yes no!", None, ""])}
+    assert got == {0: (0, 0), 1: (1, 4), 2: (1, 2), 4: (0, 0)}
+    plan = catalog.QUERIES["phrase_repeats"](spark, f"file://{tmp_path}")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # the words are made once a turn, not once a place
