@@ -123,13 +123,17 @@ def uncovered(
     Evidence within speech counts, widened by ``tolerance`` within it. Gaps under ``ignore`` seconds are none. A region has gaps if
     they take ``share`` of it or one is at least ``large``; of those, gaps of at least ``least`` seconds are returned.
     """
-    regions = union(speech, key).drop("members")
-    wide = intersect(evidence, regions, key).select(key, (F.col("start_time") - tolerance).alias("start_time"), (F.col("end_time") + tolerance).alias("end_time"))
+    known = F.col(key).isNotNull()
+    speech = speech.where(known)
+    wide = intersect(evidence, speech, key).select(key, (F.col("start_time") - tolerance).alias("start_time"), (F.col("end_time") + tolerance).alias("end_time"))
     wide = wide.withColumn("start_time", F.greatest(F.lit(0.0), "start_time"))
-    gaps = subtract(regions, wide, key).where(F.col("end_time") - F.col("start_time") >= ignore)
-    named = regions.withColumn("region", F.col("start_time")).withColumn("length", F.col("end_time") - F.col("start_time"))
-    inside = range_join(gaps, named, key, 600.0)
     length = F.col("end_time") - F.col("start_time")
-    by = Window.partitionBy(key, "region_b")
-    bad = (F.sum(length).over(by) >= share * F.col("length_b")) | (F.max(length).over(by) >= large)
-    return union(inside.withColumn("_bad", bad).where(F.col("_bad") & (length >= least)), key).drop("members")
+    gaps = subtract(speech, wide, key).where(length >= ignore)
+    # a gap is in one region, the last that starts by then
+    regions = union(speech, key).select(key, "start_time", "end_time", F.struct("start_time", length.alias("length")).alias("_region"))
+    both = gaps.withColumn("_gap", F.lit(1)).unionByName(regions.withColumn("_gap", F.lit(0)), allowMissingColumns=True)
+    last = F.last("_region", ignorenulls=True).over(Window.partitionBy(key).orderBy("start_time", "_gap").rowsBetween(Window.unboundedPreceding, 0))
+    inside = both.withColumn("_in", last).where("_gap = 1").select(key, "start_time", "end_time", F.col("_in.start_time").alias("_region"), F.col("_in.length").alias("_length"))
+    by = Window.partitionBy(key, "_region")
+    bad = (F.sum(length).over(by) >= share * F.col("_length")) | (F.max(length).over(by) >= large)
+    return inside.withColumn("_bad", bad).where(F.col("_bad") & (length >= least)).select(key, "start_time", "end_time")

@@ -69,3 +69,22 @@ def test_speech_coverage_of_a_long_cue(spark):
     df = lambda *rows: spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], CUE)
     (r,) = metrics.speech_coverage(df((0.0, 9e11)), df((1.0, 3e11), (9.5e11, 9.6e11))).collect()
     assert (r["speech"], r["covered"], r["over_silence"], r["mostly_silent"]) == (9e11, 3e11 - 1, 1e10, 1)
+
+
+def test_uncovered_speech_by_brute_force(spark):
+    rng = random.Random(11)
+    made = lambda n, long: [(rng.choice([0, 1, 2, None]), k, float(s := rng.randint(0, 400)), s + rng.randint(-4, long) / 4) for k in range(n)]
+    speech, cues = made(90, 60), made(120, 30)
+    speech, cues = [*speech, (3, 90, 5.0, 9e11)], [*cues, (3, 120, 100.0, 200.0), (3, 121, 6e11, 8e11)]
+    want = []
+    for m in range(4):
+        regions = union((s, e) for x, _, s, e in speech if x == m and e > s)
+        heard = union((s, e) for x, _, s, e in cues if x == m and e > s)
+        wide = union((max(0.0, max(a, s) - 0.1), min(b, e) + 0.1) for a, b in regions for s, e in heard if max(a, s) < min(b, e))
+        for a, b in regions:
+            cuts = [a, *(t for s, e in wide if s < b and e > a for t in (s, e)), b]
+            gaps = [(s, e) for s, e in zip(cuts[::2], cuts[1::2]) if e - s >= 0.25]
+            if gaps and (sum(e - s for s, e in gaps) >= 0.4 * (b - a) or max(e - s for s, e in gaps) >= 2.0):
+                want += [(m, s, e) for s, e in gaps if e - s >= 0.5]
+    df = lambda rows: spark.createDataFrame(rows, CUE)
+    assert sorted(map(tuple, intervals.uncovered(df(speech), df(cues), "media_id").collect())) == sorted(want) and len(want) > 40
