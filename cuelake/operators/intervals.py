@@ -95,6 +95,42 @@ def shared_seconds(df: DataFrame, regions: DataFrame, key: str) -> DataFrame:
     return found.withColumn("shared", shared).select(*df.columns, "shared")
 
 
+def covered_borders(regions: DataFrame, rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Both borders of each valid one of ``rows`` with the last region of the union of ``regions`` that starts by then, and seconds so far.
+
+    (key, name, _cue, _first, _t, _other, nth, from_, to, before, previous, a, b, both): ``_t`` is the border, ``_other`` the row's other one,
+    ``_first`` is true at a start; ``nth`` counts the regions, ``to`` is null while the region is open, ``before`` has the seconds of those
+    before it and ``previous`` the end of the last of these; ``a``, ``b`` and ``both`` are the seconds so far of the unions of ``regions``,
+    of ``rows`` and of what they share, so a key's greatest are its totals. Where a region ends is a border too, without ``_cue``.
+    One shuffle and one sort of narrow rows; no interval is copied, however long it is.
+    """
+    # 1 and 2: a region opens and closes, 4 and 8: a row does
+    border = lambda kind, t, other: F.struct(F.lit(kind).alias("_kind"), F.col(t).alias("_t"), F.col(other).alias("_other"))
+    edge = lambda df, own, k: df.where(valid(F.col("start_time"), F.col("end_time"))).select(
+        *key, own.alias(name), F.explode(F.array(border(k, "start_time", "end_time"), border(2 * k, "end_time", "start_time"))).alias("x")
+    )
+    edges = edge(rows, F.col(name), 4).unionByName(edge(regions, F.lit(None).cast(rows.schema[name].dataType), 1)).select(*key, name, "x.*")
+    by = Window.partitionBy(*key).orderBy("_t")
+    upto, t, kind = by.rowsBetween(Window.unboundedPreceding, 0), F.col("_t"), F.col("_kind")
+    latest = lambda cond, x, over=upto: F.last(F.when(cond, x), ignorenulls=True).over(over)
+    # borders of one time are peers: each has the sums of all of them, and only the first one sees them change
+    peers = by.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = lambda k: F.sum(F.when(kind == k, 1).when(kind == 2 * k, -1).otherwise(0)).over(peers) > 0
+    now = edges.withColumns({"_a": open_(1), "_b": open_(4)})
+    now = now.withColumns({f"_was{x}": F.coalesce(F.lag(x).over(by), F.lit(False)) for x in ("_a", "_b")})
+    opens, closes = F.col("_a") & ~F.col("_was_a"), ~F.col("_a") & F.col("_was_a")
+    turn = (F.col("_a") != F.col("_was_a")) | (F.col("_b") != F.col("_was_b"))
+    since = latest(turn, t, by.rowsBetween(Window.unboundedPreceding, -1))
+    now = now.withColumns({"nth": F.count(F.when(opens, 1)).over(upto), "from_": latest(opens, t), "_closed": latest(closes, t), "_since": since})
+    seconds = lambda cond, start: F.coalesce(F.sum(F.when(cond, t - F.col(start))).over(upto), F.lit(0.0))
+    was_a, was_b = turn & F.col("_was_a"), turn & F.col("_was_b")
+    sums = {"a": seconds(was_a, "_since"), "b": seconds(was_b, "_since"), "both": seconds(was_a & F.col("_was_b"), "_since")}
+    now = now.withColumns(sums | {"_done": seconds(closes, "from_"), "previous": latest(opens, F.col("_closed"))})
+    now = now.withColumn("before", latest(opens, F.col("_done"))).where((kind >= 4) | closes)
+    to = F.when(~F.col("_a"), F.col("_closed")).alias("to")
+    return now.select(*key, name, (kind >= 4).alias("_cue"), (kind == 4).alias("_first"), "_t", "_other", "nth", "from_", to, "before", "previous", "a", "b", "both")
+
+
 def total(df: DataFrame, key: str, name: str = "seconds") -> DataFrame:
     return df.groupBy(key).agg(F.sum(F.col("end_time") - F.col("start_time")).alias(name))
 

@@ -87,21 +87,35 @@ def quality(cues: DataFrame, by: str = "media_id", max_cps: float = 21.0, width:
 def speech_coverage(reference: DataFrame, candidate: DataFrame, by: str = "media_id", least_share: float = 0.5) -> DataFrame:
     """Seconds of reference speech that candidate cues cover and miss, seconds of cues over silence, and cues mostly over silence.
 
-    Both sides are swept over once, so rows do not become more with their length. Sides without a media have a row each.
+    Both sides are swept over once, so rows do not become more with their length. Sides without a media have a row each. Cues that share
+    media and id are one. Borders are shuffled once; all else is summed up where they are.
     """
-    known = F.col(by).isNotNull()
-    sides = (df.select(by, "start_time", "end_time", F.when(~known, F.lit(side)).alias("_side")) for df, side in ((reference, "reference"), (candidate, "candidate")))
-    seconds = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("end_time") - F.col("start_time"))), F.lit(0.0))
-    out = intervals.stretches(*sides, by, "_side").groupBy(by, "_side").agg(
-        seconds(F.col("in_a")).alias("speech"), seconds(F.col("in_b")).alias("cues"), seconds(F.col("in_a") & F.col("in_b")).alias("covered")
+    known, nothing = F.col(by).isNotNull(), F.lit(0.0)
+    reference, candidate = (df.withColumn("_side", F.when(~known, F.lit(side))) for df, side in ((reference, "reference"), (candidate, "candidate")))
+    borders = intervals.covered_borders(reference, candidate, [by, "_side"], "ord")
+    first, cue = F.col("_first"), F.col("_cue")
+    ends = [F.when(cue, F.when(first, x).otherwise(y)).alias(c) for c, x, y in (("_start", F.col("_t"), F.col("_other")), ("_end", F.col("_other"), F.col("_t")))]
+    at = lambda cond, name, *columns: [F.max(F.when(cond, F.col(c))).alias(f"{name}_{c}") for c in columns]
+    key, totals = [by, "_side"], [F.max(c).alias(c) for c in ("a", "b", "both")]
+    each = borders.groupBy(*key, "_cue", "ord", *ends).agg(
+        F.count_if(first).alias("_n"), *at(first, "i", "nth", "from_", "to", "before"), *at(cue & ~first, "j", "nth", "from_", "to", "before", "previous"), *totals
     )
-    own = intervals.shared_seconds(candidate.where(known).select(by, "ord", "start_time", "end_time"), reference, by)
-    own = own.groupBy(by, "ord").agg(F.sum("shared").alias("shared"), F.first(F.col("end_time") - F.col("start_time")).alias("length"))
-    silent = own.groupBy(by).agg(F.count_if(F.col("shared") / F.col("length") < least_share).alias("mostly_silent"))
-    return out.join(silent, by, "left").select(
+    start, end = F.col("_start"), F.col("_end")
+    apart, tail = F.col("j_nth") - F.col("i_nth"), F.least(end, "j_to")
+    upto = F.coalesce(F.col("i_before") + (F.col("i_to") - F.col("i_from_")), nothing)
+    last = tail - F.col("j_from_")
+    shared = (
+        F.when(F.col("j_nth") == 0, nothing).when(apart == 0, F.greatest(nothing, tail - start))
+        .when((F.col("i_nth") == 0) | F.col("i_to").isNotNull(), F.col("j_before") - upto + last)  # no region is open at the start
+        .when(apart == 1, F.col("j_previous") - start + last).otherwise(F.col("j_before") - F.col("i_before") - (start - F.col("i_from_")) + last)
+    )
+    own = each.groupBy(*key, "_cue", "ord").agg(F.sum(shared * F.col("_n")).alias("shared"), F.first(end - start).alias("length"), *totals)
+    silent = F.count_if(known & cue & (F.col("shared") / F.col("length") < least_share)).alias("mostly_silent")
+    out = own.groupBy(*key).agg(silent, *totals).withColumnsRenamed({"a": "speech", "b": "cues", "both": "covered"})
+    return out.select(
         by, metric(F.col("speech")).alias("speech"), metric(F.col("covered")).alias("covered"), metric(F.col("speech") - F.col("covered")).alias("missed"),
         ratio(F.col("speech") - F.col("covered"), F.col("speech")).alias("missed_share"), metric(F.col("cues") - F.col("covered")).alias("over_silence"),
-        F.coalesce("mostly_silent", F.lit(0)).alias("mostly_silent"),
+        "mostly_silent",
     )
 
 

@@ -71,6 +71,43 @@ def test_speech_coverage_of_a_long_cue(spark):
     assert (r["speech"], r["covered"], r["over_silence"], r["mostly_silent"]) == (9e11, 3e11 - 1, 1e10, 1)
 
 
+def test_speech_coverage_by_brute_force(spark):
+    rng = random.Random(17)
+    made = lambda n, long, ids: [(rng.choice([0, 1, 2, 3, None]), rng.choice(ids), s := rng.randint(-8, 1200) / 4, s + rng.choice([-1, 0, 1, 2, 8, long]) / 4) for _ in range(n)]
+    speech, cues = made(160, 30, range(9)), made(240, 400, [*range(120), None])  # cues share ids, have none, and are over many regions
+    speech, cues = [*speech, (5, 1, 0.0, 2.0)], [*cues, *cues[::7], (4, 1, 1.0, 2.0)]
+    whole = lambda rows, m: [(s, e) for x, _, s, e in rows if x == m and 0 <= s < e]
+    want = set()
+    for m in [*range(6), None]:
+        a, b = union(whole(speech, m)), union(whole(cues, m))
+        long = lambda rows: sum(e - s for s, e in rows)
+        if m is None:
+            want |= {(None, long(a), 0.0, long(a), 0.0, 0), (None, 0.0, 0.0, 0.0, long(b), 0)}
+            continue
+        ids = {}
+        for x, k, s, e in cues:
+            if x == m and 0 <= s < e:
+                ids.setdefault(k, []).append((s, e))
+        ids = {k: v for k, v in ids.items() if len({e - s for s, e in v}) == 1}  # of several lengths any counts
+        cues = [r for r in cues if r[0] != m or r[1] in ids]
+        b = union(whole(cues, m))
+        both = sum(shared(s, e, b) for s, e in a)
+        silent = sum(sum(shared(s, e, a) for s, e in v) / (v[0][1] - v[0][0]) < 0.5 for v in ids.values())
+        want.add((m, long(a), both, long(a) - both, long(b) - both, silent))
+    found = metrics.speech_coverage(spark.createDataFrame(speech, CUE), spark.createDataFrame(cues, CUE))
+    names = ("media_id", "speech", "covered", "missed", "over_silence", "mostly_silent")
+    assert {tuple(r[c] for c in names) for r in found.collect()} == want and sum(r[-1] for r in want) > 20
+
+
+def test_suite_speech_is_one_shuffle_of_borders(spark, tmp_path):
+    df = spark.createDataFrame([(k, t, u, e, float(v), "{}") for k, t, u, e, v in events()], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.write.parquet(f"file://{tmp_path}/events.parquet")
+    plan = catalog.QUERIES["suite_speech"](spark, f"file://{tmp_path}")._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 2
+    found = catalog.QUERIES["suite_speech"](spark, f"file://{tmp_path}")._jdf.queryExecution().executedPlan().toString()
+    assert found.count("Exchange hashpartitioning") == 2 and found.count("- Sort [") == 1
+
+
 def test_uncovered_speech_by_brute_force(spark):
     rng = random.Random(11)
     made = lambda n, long: [(rng.choice([0, 1, 2, None]), k, float(s := rng.randint(0, 400)), s + rng.randint(-4, long) / 4) for k in range(n)]
