@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +38,15 @@ SHARD_BYTES = 32 << 20
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 #: Words that this pattern parts as the library does: printable ASCII but the mark of special tokens, and Latin-1 letters.
 PLAIN = re.compile(r"[!-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-#: Words that a worker remembers the ids of.
+#: The same by bytes of UTF-8, for words without an apostrophe: which may stand in such a word (after the byte 0xC3 the second half
+#: of a Latin-1 letter), their lower case, and their class: letter, digit or other.
+_PRINTED = np.array([33 <= b < 127 and chr(b) not in "<'" for b in range(256)])
+_SECOND = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256)], np.uint8)
+_CLASS = np.array([0 if b >= 0x80 or 97 <= b <= 122 else 1 if 48 <= b <= 57 else 2 for b in range(256)], np.uint8)
+#: Text bytes whose words are looked up at a time; a longer text is taken alone.
+SLICE_BYTES = 16 << 20
+#: Parts, and words of other characters, that a worker remembers the ids of.
 REMEMBERED = 900_000
 
 
@@ -52,11 +62,11 @@ def build(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray, bits:
 
     x = ids.astype(np.uint32 if bits > 16 else np.uint16)
     for level in range(bits - 1, -1, -1):
-        bit = ((x >> level) & 1).astype(bool)
+        bit = (x & x.dtype.type(1 << level)).astype(bool)
         chunks = [put(zlib.compress(np.packbits(bit[a : a + CHUNK]).tobytes(), 1)) for a in range(0, len(bit), CHUNK)]
-        ones = np.concatenate([[0], np.cumsum(np.add.reduceat(bit, np.arange(0, len(bit), CHUNK), dtype=np.int64))]) if len(bit) else np.zeros(1, np.int64)
+        ones = np.cumsum([0, *(np.count_nonzero(bit[a : a + CHUNK]) for a in range(0, len(bit), CHUNK))], dtype=np.int64)
         planes.append({"chunks": chunks, "ones": put(zlib.compress(ones.astype("<i8").tobytes())), "zeros": int(len(bit) - ones[-1])})
-        x = np.concatenate([x[~bit], x[bit]])
+        x = np.concatenate([_those(x, ~bit), _those(x, bit)])
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([d or 0 for d in doc_ids], "<i8")
     head = {
@@ -67,6 +77,12 @@ def build(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray, bits:
     return b"".join([MAGIC, len(text).to_bytes(8, "little"), text, *parts])
 
 
+def _those(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """``x[mask]``; Arrow's filter takes about half the time."""
+    bits = pa.Array.from_buffers(pa.bool_(), len(x), [None, pa.py_buffer(np.packbits(mask, bitorder="little"))])
+    return pa.array(x).filter(bits).to_numpy()
+
+
 class WaveletMatrix:
     """A shard's file, from its bytes or any buffer of them. Look-ups inflate one chunk a plane and keep the last ones."""
 
@@ -153,7 +169,7 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All tokens, from the planes, last first: each plane says which of the low bits that are known already belong to its zeros."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
         for p in range(self.bits - 1, -1, -1):
             plane = self.head["planes"][p]
             bit = np.concatenate(
@@ -161,17 +177,18 @@ class WaveletMatrix:
             ).astype(bool)
             here = np.empty_like(out)
             here[~bit] = out[: plane["zeros"]]
-            here[bit] = out[plane["zeros"] :] | np.uint32(1 << (self.bits - 1 - p))
+            here[bit] = out[plane["zeros"] :] | out.dtype.type(1 << (self.bits - 1 - p))
             out = here
-        return out
+        return out.astype(np.uint32)
 
 
 class _Encoder:
     """Ids of whole texts by the tokenizers library, as 2-byte numbers.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words. Words of Latin letters
-    and ASCII are lower-cased and parted here, as the tokenizer's own pattern does, and the library's model is asked once for each
-    part; the library encodes all others, and any with a special token's mark, as wholes. Words and parts are remembered.
+    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words. Each different word of some
+    texts is looked at once. Words of Latin letters and ASCII are lower-cased and parted here, as the tokenizer's own pattern does, and
+    the library's model is asked once for each part; the library encodes all others, and any with a special token's mark, as wholes.
+    Parts, and words that are not parted by their bytes, are remembered.
     """
 
     def __init__(self, tokenizer: str):
@@ -181,12 +198,56 @@ class _Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.letters = {b: c for c, b in byte_letters().items()}
+        self.spelt = {b: c for c, b in byte_letters().items()}
         self.words = _Remembered(self._word)
         self.parts = _Remembered(self._part)
 
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+    def __call__(self, texts: pa.Array) -> Iterator[memoryview]:
+        """The ids of each text (null: none), in order."""
+        texts = pc.fill_null(texts, "")
+        ends, a = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while a < len(texts):
+            before = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield from self._slice(texts.slice(a, b - a).cast(pa.string()))
+            a = b
+
+    def _slice(self, texts: pa.Array) -> Iterator[memoryview]:
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found = lists.values.dictionary_encode()
+        offsets, data = _binary(self._words(found.dictionary).take(found.indices))
+        at = offsets[lists.offsets.to_numpy()].tolist()
+        for a, b in zip(at, at[1:]):
+            yield data[a:b]
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of each of these words."""
+        offsets, data = _binary(words)
+        data = np.frombuffer(data, np.uint8)
+        second = _SECOND[data[1:]] & (data[:-1] == 0xC3)
+        fine = _PRINTED[data] | (data == 0xC3)
+        fine[1:] |= second
+        unlike = np.concatenate([[0], np.cumsum(~fine)])[offsets]
+        plain = unlike[1:] == unlike[:-1]
+        others = [self.words[w] for w in words.filter(pa.array(~plain)).to_pylist()]
+        places = np.where(plain, np.cumsum(plain) - 1, np.count_nonzero(plain) + np.cumsum(~plain) - 1)
+        return pa.concat_arrays([self._plain(words.filter(pa.array(plain))), pa.array(others, pa.large_binary())]).take(pa.array(places))
+
+    def _plain(self, words: pa.Array) -> pa.Array:
+        """The ids of words whose bytes say where their parts are."""
+        offsets, data = _binary(words)
+        low = _LOWER[np.frombuffer(data, np.uint8)]
+        kind = _CLASS[low]
+        begins = kind == 1
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(begins)
+        borders = np.append(starts, len(low)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(low)]).dictionary_encode()
+        ids = pa.array(map(self.parts.__getitem__, parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
+        at, data = _binary(ids)
+        at = np.ascontiguousarray(at[np.searchsorted(starts, offsets)], np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(at), pa.py_buffer(data)])
 
     def _word(self, w: str) -> bytes:
         if PLAIN.fullmatch(w):
@@ -194,8 +255,19 @@ class _Encoder:
         return np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _part(self, x: str) -> bytes:
-        spelt = x if x.isascii() else "".join([self.letters[b] for b in x.encode()])
-        return np.array([t.id for t in self.model.tokenize(spelt)], "<u2").tobytes()
+        spelt = x if x.isascii() else x.encode().decode("latin-1").translate(self.spelt)
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+
+def _binary(x: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """The offsets of an array's strings, and the bytes that they are of, both from 0 on."""
+    wide = pa.types.is_large_binary(x.type) or pa.types.is_large_string(x.type)
+    if not len(x):
+        return np.zeros(1, np.int64), memoryview(b"")
+    offsets = np.frombuffer(x.buffers()[1], np.int64 if wide else np.int32)[x.offset : x.offset + len(x) + 1]
+    data = memoryview(x.buffers()[2] or b"")[int(offsets[0]) : int(offsets[-1])]
+    return offsets - offsets[0], data
 
 
 class _Remembered(dict):
@@ -238,8 +310,7 @@ def write_shards(df: DataFrame, scratch: Scratch, shards: int, id_col: str = "do
         docs, counts, parts = [], [], []
         for batch in batches:
             docs += batch.column(0).to_pylist()
-            for text in batch.column(1):
-                got = encode(text.as_py() or "")
+            for got in encode(batch.column(1)):
                 counts.append(len(got) // 2 + 1)
                 parts += (got, last)
         if not docs:

@@ -226,6 +226,24 @@ def test_wavelet_shards(spark):
         start += len(ids)
 
 
+def test_wavelet_encoder_takes_columns(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(wavelet_tokens, "SLICE_BYTES", 200)
+    tokenizer = Tokenizer.from_file(bpe_automaton.public_path("word_bpe_49k.json"))
+    encode = wavelet_tokens._Encoder("word_bpe_49k.json")
+    rng = random.Random(6)
+    pool = [*"aZéÀßÿÞ×÷'!<~#059\t\x7f\x85Ÿ日", "'s", "'LL", "e\u0301", "\u0301", "🙂", "<|endoftext|>", " ", " ", "\n", " the ", "don't", "ZÄH12%ab"]
+    texts = [None, "", " ", *("".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(800)), "many " * 300, *ODD]
+    for column in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string()).slice(1), pa.array(texts, pa.large_string())):
+        got = [np.frombuffer(x, "<u2").tolist() for x in encode(column)]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(encode(pa.array([], pa.string()))) == []
+    fresh = wavelet_tokens._Encoder("word_bpe_49k.json")
+    assert len(b"".join(fresh(pa.array([prose(rng, 30) for _ in range(40)])))) > 0
+    assert not fresh.words and fresh.parts  # words of ASCII and Latin letters are parted by their bytes, and not kept
+
+
 def test_wavelet_lookups():
     rng = np.random.default_rng(0)
     for n in (0, 1, wavelet_tokens.CHUNK, wavelet_tokens.CHUNK + 1, 3 * wavelet_tokens.CHUNK - 5):
