@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.bpe_automaton import byte_letters, public_path
+from cuelake.llm.bpe_automaton import byte_letters, flat_bytes, public_path
 from cuelake.llm.columns import read_table
 from cuelake.llm.scratch import Scratch
 
@@ -215,14 +215,14 @@ class _Encoder:
     def _slice(self, texts: pa.Array) -> Iterator[memoryview]:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         found = lists.values.dictionary_encode()
-        offsets, data = _binary(self._words(found.dictionary).take(found.indices))
+        offsets, data = flat_bytes(self._words(found.dictionary).take(found.indices))
         at = offsets[lists.offsets.to_numpy()].tolist()
         for a, b in zip(at, at[1:]):
             yield data[a:b]
 
     def _words(self, words: pa.Array) -> pa.Array:
         """The ids of each of these words."""
-        offsets, data = _binary(words)
+        offsets, data = flat_bytes(words)
         data = np.frombuffer(data, np.uint8)
         second = _SECOND[data[1:]] & (data[:-1] == 0xC3)
         fine = _PRINTED[data] | (data == 0xC3)
@@ -235,7 +235,7 @@ class _Encoder:
 
     def _plain(self, words: pa.Array) -> pa.Array:
         """The ids of words whose bytes say where their parts are."""
-        offsets, data = _binary(words)
+        offsets, data = flat_bytes(words)
         low = _LOWER[np.frombuffer(data, np.uint8)]
         kind = _CLASS[low]
         begins = kind == 1
@@ -245,7 +245,7 @@ class _Encoder:
         borders = np.append(starts, len(low)).astype(np.int32)
         parts = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(low)]).dictionary_encode()
         ids = pa.array(map(self.parts.__getitem__, parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
-        at, data = _binary(ids)
+        at, data = flat_bytes(ids)
         at = np.ascontiguousarray(at[np.searchsorted(starts, offsets)], np.int64)
         return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(at), pa.py_buffer(data)])
 
@@ -260,16 +260,6 @@ class _Encoder:
         return struct.pack(f"<{len(ids)}H", *ids)
 
 
-def _binary(x: pa.Array) -> tuple[np.ndarray, memoryview]:
-    """The offsets of an array's strings, and the bytes that they are of, both from 0 on."""
-    wide = pa.types.is_large_binary(x.type) or pa.types.is_large_string(x.type)
-    if not len(x):
-        return np.zeros(1, np.int64), memoryview(b"")
-    offsets = np.frombuffer(x.buffers()[1], np.int64 if wide else np.int32)[x.offset : x.offset + len(x) + 1]
-    data = memoryview(x.buffers()[2] or b"")[int(offsets[0]) : int(offsets[-1])]
-    return offsets - offsets[0], data
-
-
 class _Remembered(dict):
     """Values that a function gave, up to ``REMEMBERED``; then it forgets all. Very long words are not kept."""
 

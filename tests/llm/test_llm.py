@@ -210,6 +210,26 @@ def test_automaton_is_the_library(spark, path):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(ODD)}
 
 
+@pytest.mark.parametrize("room", [3, 400_000])
+def test_automaton_takes_texts_together(monkeypatch, room):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe_automaton, "REMEMBERED", room)
+    tokenizer = Tokenizer.from_file(bpe_automaton.public_path("byte_bpe_50k.json"))
+    automaton = bpe_automaton.load.__wrapped__(bpe_automaton.public_path("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    pool = ["a", "ab", "tion", "the", " ", " t", "é", "日本", "🙂", "\u0301", "1", "!", "'s", "<|endoftext|>", "---", "\n", "ß", "Ñ", "x" * 70]
+    texts = ["", *("".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(400)), prose(rng, 50), "ab" * 3000]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in automaton.encode_all(texts)] == want
+    words = sorted({w.encode() for t in texts for w in automaton.pattern.findall(t)})
+    assert list(automaton.encode_words(words)) == [automaton.encode_word(w) for w in words]
+    assert len(automaton.words) <= room and list(automaton.encode_all([])) == []
+    with pytest.raises(KeyError):
+        automaton.decode(np.array([5, max(automaton.labels) + 1], "<u4"))
+
+
 def test_wavelet_shards(spark):
     from tokenizers import Tokenizer
 
