@@ -35,7 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words that a worker remembers; beyond, it forgets all and starts again, and then also its transitions if there are as many.
 REMEMBERED = 400_000
 #: Text bytes whose new words are sorted together; a longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 @cache
